@@ -6,19 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import bpe
+from chronolake.llm import bpe, distinctive, packing, split
 from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
+    records = distinctive.legal_records(table(spark, folder, "silver_provisions"), table(spark, folder, "naive_q100"))
+    return distinctive.distinctive_terms(records)
+
+
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split.split_oversized(split.provision_texts(table(spark, folder, "silver_provisions")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return split.oversized(p3_pieces(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), ["doc_id"])
 
 
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "p2_terms": p2_terms,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
 }
 
 #: Problems whose result SQL can express; the others are tested against brute force on small fixtures.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_terms": distinctive.SQL,
+}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import bpe, distinctive, packing, split
+from chronolake.llm import bpe, distinctive, packing, split, unify
 from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversized(p3_pieces(spark, folder))
 
 
+def _written(spark: SparkSession, folder: str) -> DataFrame:
+    return unify.page_and_provision_texts(table(spark, folder, "silver_pages"), table(spark, folder, "silver_provisions"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return unify.found_kinds(_written(spark, folder))
+
+
+def p5_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return unify.unified(_written(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), ["doc_id"])
 
@@ -37,6 +49,8 @@ QUERIES: dict[str, Query] = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import bpe, distinctive, packing, split, unify
+from chronolake.llm import bpe, distinctive, near, packing, split, unify
 from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return split.oversized(p3_pieces(spark, folder))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = near.legal_texts(table(spark, folder, "silver_provisions"), table(spark, folder, "naive_q100"))
+    return near.id_pairs(*near.similar_texts(texts))
+
+
 def _written(spark: SparkSession, folder: str) -> DataFrame:
     return unify.page_and_provision_texts(table(spark, folder, "silver_pages"), table(spark, folder, "silver_provisions"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Query] = {
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
     "p6_ids": p6_ids,

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import bpe, distinctive, near, packing, split, unify
+from chronolake.llm import bpe, distinctive, near, packing, pages, split, unify
 from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.found_lines(pages.read_pages(table(spark, folder, "silver_pages")))
+
+
+def p1_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.repaired_pages(pages.read_pages(table(spark, folder, "silver_pages")))
+
+
 def p2_terms(spark: SparkSession, folder: str) -> DataFrame:
     records = distinctive.legal_records(table(spark, folder, "silver_provisions"), table(spark, folder, "naive_q100"))
     return distinctive.distinctive_terms(records)
@@ -51,6 +59,8 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p2_terms": p2_terms,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,

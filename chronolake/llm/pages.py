@@ -23,6 +23,7 @@ import difflib
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,6 +42,8 @@ LEAST_COUNT = 3
 EDGE = 3
 #: A word is taken for another one's misreading in the estimate of the channel if that is so many times as frequent.
 RARER = 50
+#: A word that many times as frequent rules another: their neighbours in common are laid to misreading up to one in so many.
+RULES = 20
 FLUSH = 300_000
 
 FIELDS = ("raw_text", "markdown_content")
@@ -50,7 +53,13 @@ STRAY = "•¦|~^*_`´¨\\<>{}#$@"
 LOST = "�"
 BREAKS = "-¬=‐‑\xad­"
 
-_SEEN = re.compile(r"[^\x00-\x7fÀ-ỹ–…“”«»°²½�•¦¬]")
+_USUAL = "".join(
+    unicodedata.normalize("NFC", base + mark + tone)
+    for base, marks in {"a": ["", "̆", "̂"], "e": ["", "̂"], "i": [""], "o": ["", "̂", "̛"], "u": ["", "̛"], "y": [""]}.items()
+    for mark in marks
+    for tone in ("", "̀", "́", "̉", "̃", "̣")
+)
+_SEEN = re.compile(f"[^\\x00-\\x7f{_USUAL}{_USUAL.upper()}đĐ–…“”«»°²½�•¦¬]")
 _PUNCT = ".,;:()[]\"'«»“”‘’…!?–-"
 _LETTERS = re.compile(r"^[^\W\d_]+$")
 _NUMBER = re.compile(r"^[\d.,/%:+-]+$")
@@ -58,6 +67,7 @@ _SUFFIXED = re.compile(r"^\d+[a-zđ]$")
 _COMMENT = re.compile(r"^\s*<!--.*-->\s*$")
 _MARKUP = re.compile(r"^\s*(?:#{1,6}\s+)?(?:\*\*)?\s*|\s*(?:\*\*)?\s*$")
 _DRESSED = re.compile(r"^(?:(?:trang|page|tr\.?)\s*(\w{1,5})(?:\s*/\s*\w{1,5})?|[-–—]\s*(\w{1,5})\s*[-–—]|[\[(]\s*(\w{1,5})\s*[\])]|(\w{1,5})\s*/\s*\w{1,5})$", re.I)
+_LISTED = re.compile(r"^(?:\d{1,3}[.)]\s|[a-zđ]\)\s|Điều\s)", re.I)
 _ITEM = re.compile(r"^\s*(?:#{1,6}\s|\|)|^\s*(?:Điều\s+\d+\w?\.|Chương\s|Mục\s|\d{1,3}[.)]\s|[a-zđ]\)\s|[-+•]\s)", re.I)
 _DIGIT_LIKE = str.maketrans("oOlIiSsBbgqZz", "0011155869922"[:13])
 
@@ -132,7 +142,17 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines = cleaned(text).split("\n")
                 if _COMMENT.match(lines[0]):
                     lines = lines[1:]
-                coded = [code(bare(c)) for c in " ".join(lines).split()]
+                coded = []
+                cut_off = False
+                for line in lines:
+                    chunks = line.split()
+                    if chunks:
+                        own = [code(bare(c)) for c in chunks]
+                        if cut_off:
+                            own[0] = "#"
+                        if cut_off := len(chunks[-1]) > 1 and chunks[-1][-1] in BREAKS:
+                            own[-1] = "#"  # half a word
+                        coded += own
                 for total, one in ((own_words, Counter(coded)), (own_pairs, Counter(zip(coded, coded[1:])))):
                     if total:
                         total |= one
@@ -142,7 +162,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 near = {*top, *bottom}
                 found: dict[str, list[int]] = {}
                 for i, line in enumerate(lines):
-                    if line and len(line) < 160 and (i in near or len(line) < 60) and (s := shape(line)):
+                    if not line or len(line) > 160 or not (i in near or len(line) < 60) or _LISTED.match(_MARKUP.sub("", line)):
+                        continue
+                    if s := shape(line):
                         n = found.setdefault(s, [0, 0, 0])
                         n[0] += 1
                         n[1] += i in near
@@ -170,6 +192,7 @@ class Model:
     deletions: dict[str, list[str]] = field(default_factory=dict)
     head_words: dict[str, list[str]] = field(default_factory=dict)
     kept: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    ruled: dict[str, list[str]] = field(default_factory=dict)
 
     def prepare(self) -> Model:
         """Indexes of the lexicon and the channel's probabilities."""
@@ -186,6 +209,11 @@ class Model:
                 near = [v for v in self._near(word) if self.words[v] >= RARER * n]
                 for v in near:
                     counts[edit(v, word)] += 1 / len(near)
+        for word, n in self.words.items():
+            if len(word) > 1 and word[0] != "#":
+                over = [v for v in self._near(word) if self.words[v] >= RULES * n and _LETTERS.match(v)]
+                if over:
+                    self.ruled[word] = over
         least = sum(counts.values()) or 1.0
         self.edits = {e: c / least for e, c in counts.items()}
         for s in self.heads:
@@ -236,11 +264,22 @@ class Model:
             self.kept[word] = got
         return got
 
-    def follows(self, before: str, word: str) -> float:
-        n = self.pairs.get((before, word))
+    def beside(self, before: str, word: str) -> float:
+        """How often the two are neighbours, less what misreadings of a ruling word explain."""
+        n = self.pairs.get((before, word), 0)
         if n:
+            if word in self.ruled:
+                n -= max(self.pairs.get((before, v), 0) for v in self.ruled[word]) / RULES
+            if before in self.ruled:
+                n -= max(self.pairs.get((v, word), 0) for v in self.ruled[before]) / RULES
+        return n
+
+    def follows(self, before: str, word: str) -> float:
+        n = self.beside(before, word)
+        if n > 0:
             return math.log(n / max(self.words.get(before, n), n))
-        return math.log(0.05 * self.words.get(word, 0.5) / self.total)
+        own = 0.5 if word in self.ruled else self.words.get(word, 0.5)
+        return math.log(0.05 * own / self.total)
 
 
 def edit(meant: str, read: str) -> tuple[str, str]:
@@ -396,7 +435,9 @@ def decode(words: list[str], fixed: set[int], model: Model) -> list[str]:
     for i, w in enumerate(coded):
         if i in fixed or w in ("#", "#c"):
             continue
-        if w in model.words:
+        if len(w) < 2:
+            continue
+        if w in model.words and w not in model.ruled:
             before = i == 0 or (coded[i - 1], w) in model.pairs
             after = i + 1 == len(coded) or (w, coded[i + 1]) in model.pairs
             if before and after or ((before or after) and 0 < i < len(coded) - 1 and model.words[w] > 2000 * 5e-7 * model.total):
@@ -465,11 +506,13 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tu
         chunks = lines[i].split()
         words = [bare(c) for c in chunks]
         fixed: set[int] = set()
-        if carried is not None and chunks:
-            fixed.add(0)
+        if chunks and (carried is not None or i == body[0] and chunks[0][:1].islower() and words[0] not in model.words):
+            fixed.add(0)  # the second half of a word, maybe of the page before
         if i in joined:
             fixed.add(len(words) - 1)
-        decoded = decode(words, fixed, model)
+        before, after = _around(lines, body, i, joined)
+        decoded = decode([*before, *words, *after], {*range(len(before)), *(k + len(before) for k in fixed), len(before) + len(words)}, model)
+        decoded = decoded[len(before) : len(before) + len(words)]
         misread = False
         out = []
         for k, (chunk, word, now) in enumerate(zip(chunks, words, decoded)):
@@ -504,6 +547,14 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tu
     return found, "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
+def _around(lines: list[str], body: list[int], i: int, joined: dict[int, str]) -> tuple[list[str], list[str]]:
+    """The whole words just before and just after a line."""
+    at = bisect_left(body, i)
+    before = [] if at == 0 or body[at - 1] in joined else lines[body[at - 1]].split()[-1:]
+    after = [] if at + 1 == len(body) or i in joined else lines[body[at + 1]].split()[:1]
+    return [bare(c) for c in before], [bare(c) for c in after]
+
+
 def _cased(now: str, word: str, written: str) -> str:
     if written.isupper() and len(written) > 1:
         return now.upper()

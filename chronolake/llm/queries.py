@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import bpe, distinctive, near, packing, pages, split, unify
+from chronolake.llm import bpe, distinctive, near, packing, pages, personal, split, unify
 from chronolake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,14 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.found_mentions(personal.protect(table(spark, folder, "documents")))
+
+
+def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.protect(table(spark, folder, "documents")).select("doc_id", "redacted")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
@@ -69,6 +77,8 @@ QUERIES: dict[str, Query] = {
     "p5_texts": p5_texts,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
+    "p8_found": p8_found,
+    "p8_texts": p8_texts,
 }
 
 #: Problems whose result SQL can express; the others are tested against brute force on small fixtures.

@@ -10,7 +10,7 @@ threshold demands leaves at most |x| - o shingles of x out of y; each of them sp
 * Allocation: each set looks up only the |x| - o + 1 of its segments that cost least, by counts of all index entries in a table
   of fixed size. It looks in the band of its own size and the next, which hold all sizes that can reach the threshold.
 * Entries of too common signatures are salted: the index rows are dealt out, the look-ups sent to every share.
-* A match first passes an exact bound: the parities of 256 segments differ in no more places than the sets differ in shingles.
+* A match first passes an exact bound: the parities of many segments differ in no more places than the sets differ in shingles.
 * Every remaining pair is then verified by the shingle sets themselves.
 
 Equal texts are one entry with many ids until the end. Nothing but counts of fixed size reaches the driver.
@@ -37,7 +37,7 @@ THRESHOLD = Fraction(3, 5)
 LEAST_WORDS = 70
 SHINGLE = 3
 #: Shingles of a set that share a segment, on average.
-LOAD = 1.25
+LOAD = 0.8
 #: Size bands: the smallest size and the ratio (1 / threshold at least, so that two bands hold all partners).
 FIRST_BAND = 40
 #: Entries of the table of index counts (4 bytes each), whatever the size of the collection.
@@ -46,12 +46,18 @@ CHUNKS = 64
 #: Index entries of one signature in one share.
 SHARE = 20_000
 #: Index entries that a task of the look-up takes.
-TASK_ENTRIES = 4_000_000
+TASK_ENTRIES = 6_000_000
 #: Pairs looked at in one block, which bounds a task's memory whatever the skew.
 BLOCK_PAIRS = 1_000_000
 #: Candidate ids up to which the sets are picked by a broadcast instead of an exchange (8 bytes each).
 BROADCAST_IDS = 500_000
 KEPT_WORDS = 200_000
+#: Bytes kept of a shingle's hash.
+BYTES = 6
+#: Bytes kept of a signature within its part; by chance equal ones only cost a look at two sets' parities.
+SHORT = 3
+#: Sets that are worked on at once.
+BATCH_SETS = 4096
 
 _WORD = regex.compile(r"\S+")
 _CONTROL = regex.compile(r"[\x1c-\x1f]")
@@ -89,7 +95,17 @@ class Shingler:
             rolled = np.zeros(len(codes) - size + 1, np.uint64)
             for i in range(size):
                 rolled = mix(rolled * _A + codes[i : len(codes) - size + 1 + i] + _B)
-        return np.unique(rolled)
+        return np.unique(rolled & np.uint64((1 << 8 * BYTES) - 1))
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // BYTES, 8), np.uint8)
+    wide[:, :BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
+    return wide.view("<u8").ravel()
 
 
 def _sets(least: int, size: int):
@@ -102,13 +118,11 @@ def _sets(least: int, size: int):
                 if (own := shingles(text, least, size)) is not None:
                     kept.append(i)
                     made.append(own)
-            offsets = np.cumsum([0, *map(len, made)]).astype(np.int32)
-            flat = np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([sources[i] for i in kept], pa.int32()),
                     pa.array([docs[i] for i in kept], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(list(map(packed, made)), pa.binary()),
                 ],
                 names=["source", "doc", "shingles"],
             )
@@ -130,6 +144,8 @@ class Bands:
         self.starts = np.array(starts, np.int64)
         middle = np.sqrt(np.maximum(self.starts[:-1], 8.0) * self.starts[1:])
         self.segments = np.maximum(1, np.round(middle / load)).astype(np.uint64)
+        # A power of two of 64-bit words for each band, so that longer bits can be folded.
+        self.words = np.maximum(2, 2 ** np.ceil(np.log2(1.5 * self.starts[1:] / 64))).astype(np.int64)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, side="right") - 1
@@ -141,10 +157,9 @@ class Sets:
     def __init__(self, batch: pa.RecordBatch):
         self.source = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         self.doc = batch.column(1).to_numpy(zero_copy_only=False)
-        lists = batch.column(2)
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        self.n = np.diff(offsets)
-        self.shingles = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        raw = batch.column(2).to_pylist()
+        self.n = np.array([len(r) // BYTES for r in raw], np.int64)
+        self.shingles = unpacked(b"".join(raw))
         self.row = np.repeat(np.arange(len(self.n)), self.n)
 
     def runs(self, bands: Bands, band: np.ndarray, rows: np.ndarray | None = None):
@@ -215,22 +230,36 @@ class Sets:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return np.concatenate(signatures), np.concatenate(rows)
 
-    def parities(self) -> np.ndarray:
-        """256 bits a set: the parity of its shingles in each of 256 segments of the universe."""
-        hashed = mix(self.shingles * _C + _A)
-        words = np.zeros((len(self.n), 4), np.uint64)
-        bit = np.uint64(1) << (hashed & np.uint64(63))
-        word = ((hashed >> np.uint64(6)) & np.uint64(3)).astype(np.int64)
-        flat = np.zeros(len(self.n) * 4, np.uint64)
-        np.bitwise_xor.at(flat, self.row * 4 + word, bit)
-        words[:] = flat.reshape(-1, 4)
-        return words
+    def parities(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+        """All sets' bits in 64-bit words, and each set's number of words: the parity of its shingles in each segment of the
+        universe, with about as many more segments than shingles as tells sets apart."""
+        words = bands.words[bands.of(self.n)]
+        start = np.cumsum(words) - words
+        spot = mix(self.shingles * _C + _A) % (words[self.row] * 64).astype(np.uint64)
+        flat = np.zeros(int(words.sum()), np.uint64)
+        at = start[self.row] + (spot >> np.uint64(6)).astype(np.int64)
+        np.bitwise_xor.at(flat, at, np.uint64(1) << (spot & np.uint64(63)))
+        return flat, words
+
+
+def apart(flat: np.ndarray, start: np.ndarray, words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many segments the parities of sets x and y differ; the longer bits are folded to the length of the shorter."""
+    out = np.zeros(len(x), np.int64)
+    for wx, wy in np.unique(np.stack([words[x], words[y]], axis=1), axis=0) if len(x) else ():
+        own = np.flatnonzero((words[x] == wx) & (words[y] == wy))
+        low = int(min(wx, wy))
+        folded = np.zeros((len(own), low), np.uint64)
+        for who, w in ((x[own], int(wx)), (y[own], int(wy))):
+            for fold in range(0, w, low):
+                folded ^= flat[start[who][:, None] + np.arange(fold, fold + low)]
+        out[own] = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _count(t: Fraction, load: float, counters: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, counts, any_row = Bands(t, load), np.zeros(counters, np.int64), False
-        for batch in batches:
+        for batch in _batches(batches):
             if batch.num_rows:
                 signatures, _ = Sets(batch).index(bands)
                 counts += np.bincount((signatures & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
@@ -254,77 +283,97 @@ def _add(batches):
     return total(batches)
 
 
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, BATCH_SETS):
+            yield batch.slice(start, BATCH_SETS)
+
+
 def _emit(t: Fraction, load: float, counts, parts: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, table = Bands(t, load), counts.value
         buckets = np.uint64(len(table) - 1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _batches(batches):
             sets = Sets(batch)
-            parity = sets.parities()
+            parity, words = sets.parities(bands)
+            parity_start = np.cumsum(words) - words
             index, index_row = sets.index(bands)
             ask, ask_row = sets.lookups(bands, table, t)
             shares = np.maximum(1, -(-table[index & buckets].astype(np.int64) // share)).astype(np.uint64)
             index_salt = mix(sets.doc[index_row].view(np.uint64) + _A) % shares
             shares = np.maximum(1, -(-table[ask & buckets].astype(np.int64) // share))
-            if len(shares) and shares.max() > 1:
-                ask, ask_row = np.repeat(ask, shares), np.repeat(ask_row, shares)
-                ask_salt = (np.arange(len(ask)) - np.repeat(np.cumsum(shares) - shares, shares)).astype(np.uint64)
-            else:
-                ask_salt = np.zeros(len(ask), np.uint64)
-            signature = np.concatenate([index, ask])
+            ask, ask_row = np.repeat(ask, shares), np.repeat(ask_row, shares)
+            ask_salt = (np.arange(len(ask)) - np.repeat(np.cumsum(shares) - shares, shares)).astype(np.uint64)
             row = np.concatenate([index_row, ask_row])
             asks = np.r_[np.zeros(len(index), np.int64), np.ones(len(ask), np.int64)]
-            spot = mix(signature + np.concatenate([index_salt, ask_salt]) * _A)
+            spot = mix(np.concatenate([index, ask]) + np.concatenate([index_salt, ask_salt]) * _A)
             part = ((spot >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            group = row * parts + part
-            order = np.lexsort((asks, group))
-            group, asks = group[order], asks[order]
-            short = (spot & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)[order]
+            order = np.lexsort((asks, row, part))
+            spot, part, row, asks = spot[order], part[order], row[order], asks[order]
+            short = spot.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
+            group = part * len(sets.n) + row
             first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             indexed = np.add.reduceat(1 - asks, first)
-            who = group[first] // parts
-            offsets = pa.array(np.r_[first, len(group)].astype(np.int32))
+            asked = np.add.reduceat(asks, first)
+            # One row for all that this batch has to say in a part.
+            heads = np.zeros(len(first), _HEAD)
+            who = row[first]
+            heads["source"], heads["doc"], heads["n"] = sets.source[who], sets.doc[who], sets.n[who]
+            heads["indexed"], heads["asked"] = indexed, asked
+            own = part[first]
+            numbers = np.unique(own)
+            head_from, head_to = np.searchsorted(own, numbers, "left"), np.searchsorted(own, numbers, "right")
+            from_, to = np.searchsorted(part, numbers, "left"), np.searchsorted(part, numbers, "right")
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((group[first] % parts).astype(np.int32)),
-                    pa.array(sets.source[who].astype(np.int32)),
-                    pa.array(sets.doc[who]),
-                    pa.array(sets.n[who].astype(np.int32)),
-                    *(pa.array(parity[who, i].view(np.int64)) for i in range(4)),
-                    pa.array(indexed.astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, pa.array(short)),
+                    pa.array(numbers.astype(np.int32)),
+                    pa.array([heads[a:b].tobytes() for a, b in zip(head_from, head_to)], pa.binary()),
+                    pa.array([_gather(parity, parity_start, words, who[a:b]).tobytes() for a, b in zip(head_from, head_to)], pa.binary()),
+                    pa.array([short[a:b].tobytes() for a, b in zip(from_, to)], pa.binary()),
                 ],
-                names=["part", "source", "doc", "n", "p0", "p1", "p2", "p3", "indexed", "signatures"],
+                names=["part", "heads", "parities", "signatures"],
             )
 
     return run
 
 
-_EMITTED = (
-    "part int, source int, doc long, n int, p0 long, p1 long, p2 long, p3 long, indexed int, signatures array<int>"
-)
+_HEAD = np.dtype([("source", "u1"), ("doc", "<i8"), ("n", "<i4"), ("indexed", "<u4"), ("asked", "<u4")])
+_EMITTED = "part int, heads binary, parities binary, signatures binary"
 
 
-def _match(t: Fraction):
+def _gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The stretches of the given rows, one after the other."""
+    many = lengths[rows]
+    return flat[np.arange(int(many.sum())) + np.repeat(start[rows] - (np.cumsum(many) - many), many)]
+
+
+def _match(t: Fraction, load: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        heads, parts, bits, signatures = [], [], [], []
+        for batch in batches:
+            for part, head, parity, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                bits.append(np.frombuffer(parity, "<u8"))
+                own = np.frombuffer(head, _HEAD)
+                heads.append(own)
+                parts.append(np.full(len(own), part, np.int64))
+                wide = np.zeros((len(raw) // SHORT, 4), np.uint8)
+                wide[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
+                signatures.append(wide.view("<u4").ravel())
+        if not heads:
             return
-        table = pa.Table.from_batches(got)
-        part, source, doc, n = (table.column(i).to_numpy() for i in range(4))
-        parity = np.stack([table.column(i).to_numpy().view(np.uint64) for i in range(4, 8)], axis=1)
-        indexed = table.column(8).to_numpy()
-        lists = table.column(9)
-        lengths = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists.chunks])
-        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks])
-        del table, got, lists
+        head, part, flat, parity = (np.concatenate(a) for a in (heads, parts, signatures, bits))
+        del heads, parts, signatures, bits
+        source, doc, n = head["source"].astype(np.int32), head["doc"].copy(), head["n"].copy()
+        bands = Bands(t, load)
+        words = bands.words[bands.of(n)]
+        parity_start = np.cumsum(words) - words
+        indexed = head["indexed"].astype(np.int64)
+        lengths = indexed + head["asked"]
         row = np.repeat(np.arange(len(n)), lengths)
         start = np.cumsum(lengths) - lengths
         asks = np.arange(len(flat)) - start[row] >= indexed[row]
         # One signature space for each part, should one task hold several.
-        key = (part[row].astype(np.int64) << 32) | flat.view(np.uint32).astype(np.int64)
+        key = (part[row] << 32) | flat.astype(np.int64)
         index_key, index_row = key[~asks], row[~asks]
         order = np.argsort(index_key, kind="stable")
         index_key, index_row = index_key[order], index_row[order]
@@ -354,8 +403,7 @@ def _match(t: Fraction):
                 ok = (doc[x] != doc[y]) & (source[x] == source[y]) & ((nx < ny) | ((nx == ny) & (doc[x] < doc[y])))
                 ok &= nx.astype(np.int64) * t.denominator >= ny.astype(np.int64) * t.numerator
                 x, y = x[ok], y[ok]
-                apart = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
-                ok = apart <= n[x].astype(np.int64) + n[y] - 2 * needed(n[x], n[y], t)
+                ok = apart(parity, parity_start, words, x, y) <= n[x].astype(np.int64) + n[y] - 2 * needed(n[x], n[y], t)
                 if ok.any():
                     found.append(np.unique((x[ok].astype(np.int64) << 32) | y[ok].astype(np.int64)))
             if len(found) > 64:
@@ -377,7 +425,7 @@ def _verify(t: Fraction):
             xs, ys = batch.column(3), batch.column(4)
             good = []
             for i in range(batch.num_rows):
-                a, b = xs[i].values.to_numpy(), ys[i].values.to_numpy()
+                a, b = unpacked(xs[i].as_py()), unpacked(ys[i].as_py())
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(shared * t.denominator >= (len(a) + len(b) - shared) * t.numerator)
             mask = pa.array(good, pa.bool_())
@@ -405,8 +453,10 @@ def similar_texts(
         F.col("source").cast("int").alias("source"), "id", F.xxhash64("text").alias("doc"), "text"
     )
     own = spread(rows.groupBy("source", "doc").agg(F.first("text").alias("text")), "source", "doc")
-    sets = cut(own.select("source", "doc", "text").mapInArrow(_sets(least_words, shingle), "source int, doc long, shingles array<long>"))
-    members = rows.select("source", "doc", "id").distinct().join(sets.select("source", "doc"), ["source", "doc"], "left_semi")
+    sets = cut(own.select("source", "doc", "text").mapInArrow(_sets(least_words, shingle), "source int, doc long, shingles binary"))
+    # One exchange of the ids serves their distinctness and every join on the text.
+    members = rows.select("source", "doc", "id").repartition("source", "doc").distinct()
+    members = members.join(sets.select("source", "doc"), ["source", "doc"], "left_semi")
 
     counted = sets.mapInArrow(_count(t, load, counters), "chunk int, counts binary")
     chunks = counted.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").collect()
@@ -415,10 +465,10 @@ def similar_texts(
     for c in chunks:
         counts[c["chunk"] * width : (c["chunk"] + 1) * width] = np.frombuffer(c["counts"], "<u4")
     entries = int(counts.sum(dtype=np.int64))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // TASK_ENTRIES))
+    parts = max(spark.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES))
     told = spark.sparkContext.broadcast(counts)
     emitted = sets.mapInArrow(_emit(t, load, told, parts, share), _EMITTED)
-    candidates = cut(emitted.repartitionById(parts, F.col("part")).mapInArrow(_match(t), "source int, x long, y long").distinct())
+    candidates = cut(emitted.repartitionById(parts, F.col("part")).mapInArrow(_match(t, load), "source int, x long, y long").distinct())
 
     ids = candidates.select("source", F.col("x").alias("doc")).union(candidates.select("source", "y")).distinct()
     few = candidates.count() <= BROADCAST_IDS // 2
@@ -440,10 +490,13 @@ def legal_texts(provisions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def id_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """source_table, id_a, id_b with id_a < id_b: all pairs of different ids, of equal texts too."""
+    many = members.groupBy("source", "doc").count().filter("count > 1").select("source", "doc")
+    copies = members.join(many, ["source", "doc"], "left_semi")
     a = members.select("source", F.col("doc").alias("x"), F.col("id").alias("i"))
     b = members.select("source", F.col("doc").alias("y"), F.col("id").alias("j"))
     between = pairs.join(a, ["source", "x"]).join(b, ["source", "y"]).select("source", "i", "j")
-    equal = a.join(b, (a.source == b.source) & (a.x == b.y) & (a.i < b.j)).select(a.source, "i", "j")
+    equal = copies.withColumnRenamed("id", "i").join(copies.withColumnRenamed("id", "j"), ["source", "doc"]).filter("i < j")
+    equal = equal.select("source", "i", "j")
     name = F.element_at(F.array(*map(F.lit, SOURCES)), F.col("source") + 1)
     return (
         between.unionByName(equal)

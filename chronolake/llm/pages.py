@@ -23,7 +23,6 @@ import difflib
 import math
 import re
 import unicodedata
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -67,6 +66,7 @@ _SUFFIXED = re.compile(r"^\d+[a-zđ]$")
 _COMMENT = re.compile(r"^\s*<!--.*-->\s*$")
 _MARKUP = re.compile(r"^\s*(?:#{1,6}\s+)?(?:\*\*)?\s*|\s*(?:\*\*)?\s*$")
 _DRESSED = re.compile(r"^(?:(?:trang|page|tr\.?)\s*(\w{1,5})(?:\s*/\s*\w{1,5})?|[-–—]\s*(\w{1,5})\s*[-–—]|[\[(]\s*(\w{1,5})\s*[\])]|(\w{1,5})\s*/\s*\w{1,5})$", re.I)
+_PLAIN_OF = {ord(c): unicodedata.normalize("NFD", c)[0] for c in _USUAL} | {ord("đ"): "d"} | dict.fromkeys(range(0x300, 0x370))
 _LISTED = re.compile(r"^(?:\d{1,3}[.)]\s|[a-zđ]\)\s|Điều\s)", re.I)
 _ITEM = re.compile(r"^\s*(?:#{1,6}\s|\|)|^\s*(?:Điều\s+\d+\w?\.|Chương\s|Mục\s|\d{1,3}[.)]\s|[a-zđ]\)\s|[-+•]\s)", re.I)
 _DIGIT_LIKE = str.maketrans("oOlIiSsBbgqZz", "0011155869922"[:13])
@@ -86,8 +86,7 @@ def cleaned(text: str) -> str:
 
 def fold(text: str) -> str:
     """Lower case without accents."""
-    parts = unicodedata.normalize("NFD", text.lower().replace("đ", "d"))
-    return "".join(c for c in parts if not unicodedata.combining(c))
+    return text.lower().translate(_PLAIN_OF)
 
 
 def shape(line: str) -> str:
@@ -108,6 +107,26 @@ def code(word: str) -> str:
     return "#c" if any(c.isdigit() for c in word) and not any(c in word for c in STRAY + LOST) and ("/" in word or "-" in word or _SUFFIXED.match(word)) else word
 
 
+_codes: dict[str, str] = {}
+
+
+def coded_chunks(chunks: list[str]) -> list[str]:
+    """code(bare(c)) of every chunk; the same chunks come again and again."""
+    try:
+        return list(map(_codes.__getitem__, chunks))
+    except KeyError:
+        pass
+    out, get = [], _codes.get
+    for c in chunks:
+        w = get(c)
+        if w is None:
+            if len(_codes) > FLUSH:
+                _codes.clear()
+            w = _codes[c] = code(bare(c))
+        out.append(w)
+    return out
+
+
 def edges(lines: list[str]) -> tuple[list[int], list[int]]:
     """Numbers of the first and of the last lines that are not blank."""
     full = [i for i, line in enumerate(lines) if line.strip() and not _COMMENT.match(line)]
@@ -133,50 +152,48 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for first, raw, marked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            own_words: Counter = Counter()
-            own_pairs: Counter = Counter()
-            own_shapes: dict[str, list[int]] = {}
-            for text in (raw, marked):
-                if not text:
-                    continue
-                lines = cleaned(text).split("\n")
-                if _COMMENT.match(lines[0]):
-                    lines = lines[1:]
-                coded = []
-                cut_off = False
-                for line in lines:
-                    chunks = line.split()
-                    if chunks:
-                        own = [code(bare(c)) for c in chunks]
-                        if cut_off:
-                            own[0] = "#"
-                        if cut_off := len(chunks[-1]) > 1 and chunks[-1][-1] in BREAKS:
-                            own[-1] = "#"  # half a word
-                        coded += own
-                for total, one in ((own_words, Counter(coded)), (own_pairs, Counter(zip(coded, coded[1:])))):
-                    if total:
-                        total |= one
-                    else:
-                        total.update(one)
-                top, bottom = edges(lines)
-                near = {*top, *bottom}
-                found: dict[str, list[int]] = {}
-                for i, line in enumerate(lines):
-                    if not line or len(line) > 160 or not (i in near or len(line) < 60) or _LISTED.match(_MARKUP.sub("", line)):
-                        continue
-                    if s := shape(line):
-                        n = found.setdefault(s, [0, 0, 0])
+            # The fuller of the two texts stands for the page.
+            text = max(raw or "", marked or "", key=len)
+            if not text:
+                continue
+            lines = cleaned(text).split("\n")
+            if _COMMENT.match(lines[0]):
+                lines = lines[1:]
+            coded: list[str] = []
+            cut_off = False
+            for line in lines:
+                chunks = line.split()
+                if chunks:
+                    own = coded_chunks(chunks)
+                    if cut_off:
+                        own[0] = "#"
+                    if cut_off := len(chunks[-1]) > 1 and chunks[-1][-1] in BREAKS:
+                        own[-1] = "#"  # half a word
+                    coded += own
+            words.update(coded)
+            pairs.update(zip(coded, coded[1:]))
+            top, bottom = edges(lines)
+            near = {*top, *bottom}
+            other = marked if text is raw else raw
+            if other and other is not text:
+                # heads may stand in one of the two only
+                more = cleaned(other).split("\n")
+                more = [more[i] for i in {*edges(more)[0], *edges(more)[1]}]
+                own = {s for i in near if (s := shape(lines[i]))}
+                for line in more:
+                    if len(line) <= 160 and not _LISTED.match(_MARKUP.sub("", line)) and (s := shape(line)) and s not in own:
+                        n = shapes[s]
                         n[0] += 1
-                        n[1] += i in near
+                        n[1] += 1
                         n[2] += not first
-                for s, n in found.items():
-                    own_shapes[s] = [max(a, b) for a, b in zip(own_shapes.get(s, (0, 0, 0)), n)]
-            words.update(own_words)
-            pairs.update(own_pairs)
-            for s, n in own_shapes.items():
-                total = shapes[s]
-                for i in range(3):
-                    total[i] += n[i]
+            for i, line in enumerate(lines):
+                if not line or len(line) > 160 or not (i in near or len(line) < 40) or _LISTED.match(_MARKUP.sub("", line)):
+                    continue
+                if s := shape(line):
+                    n = shapes[s]
+                    n[0] += 1
+                    n[1] += i in near
+                    n[2] += not first
             if len(words) + len(pairs) + len(shapes) > FLUSH:
                 yield flush()
     yield flush()
@@ -193,6 +210,7 @@ class Model:
     head_words: dict[str, list[str]] = field(default_factory=dict)
     kept: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
     ruled: dict[str, list[str]] = field(default_factory=dict)
+    sound: set[str] = field(default_factory=set)
 
     def prepare(self) -> Model:
         """Indexes of the lexicon and the channel's probabilities."""
@@ -214,6 +232,7 @@ class Model:
                 over = [v for v in self._near(word) if self.words[v] >= RULES * n and _LETTERS.match(v)]
                 if over:
                     self.ruled[word] = over
+        self.sound = {w for w in self.words if w not in self.ruled} | {"#", "#c"}
         least = sum(counts.values()) or 1.0
         self.edits = {e: c / least for e, c in counts.items()}
         for s in self.heads:
@@ -369,7 +388,7 @@ def is_head(line: str, model: Model, doc: str, rank: int) -> bool:
     own = fold(doc or "")
     if own and rank < 2:
         at = folded.find(own)
-        if at < 0 and len(folded) >= len(own):
+        if at < 0 and len(folded) >= len(own) and sum(map(str.isdigit, folded)) > 4:
             # a misread number of the document: the same length, a few characters off
             for k in range(0, min(30, len(folded) - len(own) + 1)):
                 off = sum(a != b for a, b in zip(folded[k : k + len(own)], own))
@@ -428,31 +447,42 @@ def broken(line: str, following: str, model: Model) -> str | None:
     return None if _word_like(first, model) and _word_like(second, model) else joined
 
 
-def decode(words: list[str], fixed: set[int], model: Model) -> list[str]:
-    """The likeliest words of a line, by Viterbi over each word's candidates; positions in fixed stay."""
-    coded = [code(w) for w in words]
-    suspects = set()
-    for i, w in enumerate(coded):
-        if i in fixed or w in ("#", "#c"):
-            continue
-        if len(w) < 2:
-            continue
-        if w in model.words and w not in model.ruled:
-            before = i == 0 or (coded[i - 1], w) in model.pairs
-            after = i + 1 == len(coded) or (w, coded[i + 1]) in model.pairs
-            if before and after or ((before or after) and 0 < i < len(coded) - 1 and model.words[w] > 2000 * 5e-7 * model.total):
+def suspicious(coded: list[str], model: Model) -> set[int]:
+    """Words that are unknown, ruled by a commoner one, or seen with neither neighbour."""
+    pairs, sound = model.pairs, model.sound
+    out = set() if sound.issuperset(coded) else {i for i, w in enumerate(coded) if w not in sound}
+    if not all(map(pairs.__contains__, zip(coded, coded[1:]))):
+        seen = [p in pairs for p in zip(coded, coded[1:])]
+        last = len(coded) - 1
+        for i, w in enumerate(coded):
+            if i in out or i and seen[i - 1] or i < last and seen[i] or i in (0, last):
                 continue
-        suspects.add(i)
-    if not suspects:
-        return coded
-    lattice = []
-    for i, w in enumerate(coded):
-        own = [(w, math.log(0.998))]
-        if i in suspects:
-            own += model.candidates(w)
-        lattice.append(own)
-    if all(len(c) == 1 for c in lattice):
+            out.add(i)
+    return {i for i in out if len(coded[i]) > 1 and coded[i] not in ("#", "#c")} if out else out
+
+
+def decode(coded: list[str], suspects: set[int], model: Model) -> list[str]:
+    """The likeliest words of a line, by Viterbi over the candidates of its suspicious words."""
+    options = {i: model.candidates(coded[i]) for i in suspects}
+    if not any(options.values()):
         return coded
+    # Certain words part the line, so only the stretches around open ones need decoding.
+    out, at = list(coded), 0
+    opened = sorted(i for i, c in options.items() if c)
+    while at < len(opened):
+        to = at
+        while to + 1 < len(opened) and opened[to + 1] - opened[to] <= 1:
+            to += 1
+        first, last = max(opened[at] - 1, 0), min(opened[to] + 1, len(coded) - 1)
+        out[first : last + 1] = _viterbi([[(coded[i], _STAYS), *options.get(i, ())] for i in range(first, last + 1)], model)
+        at = to + 1
+    return out
+
+
+_STAYS = math.log(0.998)
+
+
+def _viterbi(lattice: list[list[tuple[str, float]]], model: Model) -> list[str]:
     best = [(model.follows("#", w) if len(lattice[0]) > 1 else 0.0, None, w) for w, _ in lattice[0]]
     best = [(score + emit, back, w) for (score, back, w), (_, emit) in zip(best, lattice[0])]
     trail = [best]
@@ -502,28 +532,32 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tu
     paragraphs: list[list[str]] = []
     carried: str | None = None
     last = -2
-    for i in body:
-        chunks = lines[i].split()
-        words = [bare(c) for c in chunks]
+    split = {i: lines[i].split() for i in body}
+    known = {i: coded_chunks(chunks) for i, chunks in split.items()}
+    for at, i in enumerate(body):
+        chunks, own = split[i], known[i]
         fixed: set[int] = set()
-        if chunks and (carried is not None or i == body[0] and chunks[0][:1].islower() and words[0] not in model.words):
+        if chunks and (carried is not None or i == body[0] and chunks[0][:1].islower() and own[0] not in model.words):
             fixed.add(0)  # the second half of a word, maybe of the page before
         if i in joined:
-            fixed.add(len(words) - 1)
-        before, after = _around(lines, body, i, joined)
-        decoded = decode([*before, *words, *after], {*range(len(before)), *(k + len(before) for k in fixed), len(before) + len(words)}, model)
-        decoded = decoded[len(before) : len(before) + len(words)]
-        misread = False
-        out = []
-        for k, (chunk, word, now) in enumerate(zip(chunks, words, decoded)):
-            if now != code(word) and now:
-                misread = True
-                at = chunk.lower().find(word)
-                out.append(chunk[:at] + _cased(now, word, chunk[at : at + len(word)]) + chunk[at + len(word) :] if at >= 0 else chunk)
-                continue
-            if k not in fixed and (_SYMBOL_IN_WORD.search(chunk) and "|" not in (chunk[:1], chunk[-1:]) or _NUMBER_MISREAD.match(chunk.strip(_PUNCT))):
-                misread = True
-            out.append(chunk)
+            fixed.add(len(own) - 1)
+        before = known[body[at - 1]][-1:] if at and body[at - 1] not in joined else []
+        after = known[body[at + 1]][:1] if at + 1 < len(body) and i not in joined else []
+        line = [*before, *own, *after]
+        ahead = len(before)
+        suspects = {k for k in suspicious(line, model) if ahead <= k < ahead + len(own) and k - ahead not in fixed}
+        decoded = decode(line, suspects, model) if suspects else line
+        misread, out = False, chunks
+        if decoded is not line:
+            out = list(chunks)
+            for k, now in enumerate(decoded[len(before) : len(before) + len(own)]):
+                if now != own[k]:
+                    misread = True
+                    chunk, word = chunks[k], bare(chunks[k])
+                    spot = chunk.lower().find(word)
+                    if spot >= 0:
+                        out[k] = chunk[:spot] + _cased(now, word, chunk[spot : spot + len(word)]) + chunk[spot + len(word) :]
+        misread = misread or any(_odd(chunks[k - ahead]) for k in suspects)
         if misread:
             found.append((i + 1, "misread"))
         if carried is not None and out:
@@ -547,12 +581,18 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tu
     return found, "\n\n".join(" ".join(p) for p in paragraphs if p)
 
 
-def _around(lines: list[str], body: list[int], i: int, joined: dict[int, str]) -> tuple[list[str], list[str]]:
-    """The whole words just before and just after a line."""
-    at = bisect_left(body, i)
-    before = [] if at == 0 or body[at - 1] in joined else lines[body[at - 1]].split()[-1:]
-    after = [] if at + 1 == len(body) or i in joined else lines[body[at + 1]].split()[:1]
-    return [bare(c) for c in before], [bare(c) for c in after]
+_odds: dict[str, bool] = {}
+
+
+def _odd(chunk: str) -> bool:
+    """Whether a chunk has a stray or lost character within a word or a letter for a digit."""
+    got = _odds.get(chunk)
+    if got is None:
+        if len(_odds) > FLUSH:
+            _odds.clear()
+        table_cell = "|" in (chunk[:1], chunk[-1:])
+        got = _odds[chunk] = bool(_SYMBOL_IN_WORD.search(chunk) and not table_cell or _NUMBER_MISREAD.match(chunk.strip(_PUNCT)))
+    return got
 
 
 def _cased(now: str, word: str, written: str) -> str:

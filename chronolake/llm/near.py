@@ -504,3 +504,42 @@ def id_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
         .select(name.alias("source_table"), F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
         .distinct()
     )
+
+
+def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+    """source, doc, group_doc, n_links of every text with a partner: connected components by stars.
+
+    Each round links every node's greater neighbours, then its smaller ones, to the least it knows, until nothing changes; all of
+    it joins and aggregations whose lineage is cut in the shared folder, and no component is ever held in one place.
+    """
+    links = pairs.select("source", F.col("x").alias("u"), F.col("y").alias("v"))
+    both = cut(links.unionByName(links.select("source", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    degree = both.groupBy("source", F.col("u").alias("doc")).agg(F.count("*").alias("n_links"))
+    edges, before = both.filter("u > v"), None
+    for _ in range(rounds):
+        sides = edges.unionByName(edges.select("source", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = sides.groupBy("source", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = sides.filter("v > u").join(least, ["source", "u"]).select("source", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("source", "u").agg(F.min("v").alias("m"))
+        small = large.join(down, ["source", "u"]).filter("v <> m").select("source", F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(down.select("source", "u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.hash("source", "u", "v").cast("long"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("the components did not settle")
+    root = edges.select("source", F.col("u").alias("doc"), F.col("v").alias("group_doc"))
+    return degree.join(root, ["source", "doc"], "left").withColumn("group_doc", F.coalesce("group_doc", "doc"))
+
+
+def id_groups(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """source_table, id, group_id (the least id of the group), n_links to different texts; copies of one text share a group."""
+    many = members.groupBy("source", "doc").count().filter("count > 1").select("source", "doc")
+    every = grouped.unionByName(
+        many.join(grouped, ["source", "doc"], "left_anti").select("source", "doc", F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("group_doc"))
+    )
+    joined = members.join(every, ["source", "doc"])
+    name = joined.groupBy("source", "group_doc").agg(F.min("id").alias("group_id"))
+    label = F.element_at(F.array(*map(F.lit, SOURCES)), F.col("source") + 1)
+    return joined.join(name, ["source", "group_doc"]).select(label.alias("source_table"), "id", "group_id", "n_links").distinct()

@@ -38,6 +38,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.id_pairs(*near.similar_texts(texts))
 
 
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    texts = near.legal_texts(table(spark, folder, "silver_provisions"), table(spark, folder, "naive_q100"))
+    members, pairs = near.similar_texts(texts)
+    return near.id_groups(members, near.groups(pairs))
+
+
 def _written(spark: SparkSession, folder: str) -> DataFrame:
     return unify.page_and_provision_texts(table(spark, folder, "silver_pages"), table(spark, folder, "silver_provisions"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
     "p6_ids": p6_ids,

@@ -4,8 +4,8 @@ Three statistics of the whole collection, each page counted once, make the model
 occurs, and how often each shape of a line stands at the edge of pages. Their size is bounded by a share of the whole: there can
 be no more than 1 / share entries of at least that share, so they may be sent to all tasks at any size of the collection.
 
-* Running heads: lines in a page's first or last few whose shape (letters without accents, digits as one sign) is one that the
-  collection has at the edges of pages, on later pages too, and hardly elsewhere; or which hold the document's own number in the
+* Running heads: lines in a page's first or last few whose shape (letters without accents) is one that the
+  collection has at the edges of pages of several numbers, on later pages too, and hardly elsewhere; or which hold the document's own number in the
   form of a head. Shapes that only first pages have belong to the heading block. Misread heads are matched by similarity.
 * Page numbers: a line at an edge with nothing but a number in any form that is this page's, or a dressed number.
 * Broken words: a break mark at a line's end where the halves joined are a word, or where no word or code could end so.
@@ -27,6 +27,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,9 +65,9 @@ _LETTERS = re.compile(r"^[^\W\d_]+$")
 _NUMBER = re.compile(r"^[\d.,/%:+-]+$")
 _SUFFIXED = re.compile(r"^\d+[a-zđ]$")
 _COMMENT = re.compile(r"^\s*<!--.*-->\s*$")
-_MARKUP = re.compile(r"^\s*(?:#{1,6}\s+)?(?:\*\*)?\s*|\s*(?:\*\*)?\s*$")
 _DRESSED = re.compile(r"^(?:(?:trang|page|tr\.?)\s*(\w{1,5})(?:\s*/\s*\w{1,5})?|[-–—]\s*(\w{1,5})\s*[-–—]|[\[(]\s*(\w{1,5})\s*[\])]|(\w{1,5})\s*/\s*\w{1,5})$", re.I)
-_PLAIN_OF = {ord(c): unicodedata.normalize("NFD", c)[0] for c in _USUAL} | {ord("đ"): "d"} | dict.fromkeys(range(0x300, 0x370))
+_PLAIN_OF = {c: c for c in range(128)} | {ord(c): unicodedata.normalize("NFD", c)[0] for c in _USUAL} | {ord("đ"): "d"} | dict.fromkeys(range(0x300, 0x370))
+_NO_LETTERS = re.compile(r"[^a-z]+")
 _LISTED = re.compile(r"^(?:\d{1,3}[.)]\s|[a-zđ]\)\s|Điều\s)", re.I)
 _ITEM = re.compile(r"^\s*(?:#{1,6}\s|\|)|^\s*(?:Điều\s+\d+\w?\.|Chương\s|Mục\s|\d{1,3}[.)]\s|[a-zđ]\)\s|[-+•]\s)", re.I)
 _DIGIT_LIKE = str.maketrans("oOlIiSsBbgqZz", "0011155869922"[:13])
@@ -90,7 +91,7 @@ def fold(text: str) -> str:
 
 
 def shape(line: str) -> str:
-    return " ".join(re.sub(r"[^a-z#]+", " ", re.sub(r"\d+", "#", fold(line))).replace("#", " ").split())
+    return " ".join(_NO_LETTERS.sub(" ", fold(line)).split())
 
 
 def bare(chunk: str) -> str:
@@ -107,6 +108,12 @@ def code(word: str) -> str:
     return "#c" if any(c.isdigit() for c in word) and not any(c in word for c in STRAY + LOST) and ("/" in word or "-" in word or _SUFFIXED.match(word)) else word
 
 
+def unmarked(line: str) -> str:
+    """A line without the marks of headings and bold type."""
+    line = line.strip()
+    return line.lstrip("#").strip().strip("*").strip() if line[:1] in ("#", "*") else line
+
+
 _codes: dict[str, str] = {}
 
 
@@ -129,29 +136,35 @@ def coded_chunks(chunks: list[str]) -> list[str]:
 
 def edges(lines: list[str]) -> tuple[list[int], list[int]]:
     """Numbers of the first and of the last lines that are not blank."""
-    full = [i for i, line in enumerate(lines) if line.strip() and not _COMMENT.match(line)]
+    full = written(lines)
     return full[:EDGE], full[-EDGE:]
 
 
+def written(lines: list[str]) -> list[int]:
+    """Numbers of the lines that are neither blank nor a comment."""
+    return [i for i, line in enumerate(lines) if line and not line.isspace() and not (line.lstrip()[:4] == "<!--" and _COMMENT.match(line))]
+
+
 # --- statistics -----------------------------------------------------------------------------------------------------------
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
     pairs: Counter = Counter()
-    shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+    shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
 
     def flush() -> pa.RecordBatch:
-        rows = [("word", w, "", n, 0, 0) for w, n in words.items()]
-        rows += [("pair", a, b, n, 0, 0) for (a, b), n in pairs.items()]
+        rows = [("word", w, "", n, 0, 0, 0) for w, n in words.items()]
+        rows += [("pair", a, b, n, 0, 0, 0) for (a, b), n in pairs.items()]
         rows += [("shape", s, "", *n) for s, n in shapes.items()]
         words.clear(), pairs.clear(), shapes.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        columns = list(zip(*rows)) if rows else [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "a", "b", "n", "m", "k"])
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        columns = list(zip(*rows)) if rows else [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "a", "b", "n", "m", "k", "on"])
 
     for batch in batches:
-        for first, raw, marked in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for page, raw, marked in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            later, on = (page or 0) > 1, 1 << (page or 0) % 60
             # The fuller of the two texts stands for the page.
             text = max(raw or "", marked or "", key=len)
             if not text:
@@ -181,19 +194,21 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 more = [more[i] for i in {*edges(more)[0], *edges(more)[1]}]
                 own = {s for i in near if (s := shape(lines[i]))}
                 for line in more:
-                    if len(line) <= 160 and not _LISTED.match(_MARKUP.sub("", line)) and (s := shape(line)) and s not in own:
+                    if len(line) <= 160 and not _LISTED.match(unmarked(line)) and (s := shape(line)) and s not in own:
                         n = shapes[s]
                         n[0] += 1
                         n[1] += 1
-                        n[2] += not first
+                        n[2] += later
+                        n[3] |= on
             for i, line in enumerate(lines):
-                if not line or len(line) > 160 or not (i in near or len(line) < 40) or _LISTED.match(_MARKUP.sub("", line)):
+                if not line or len(line) > 160 or not (i in near or len(line) < 40) or _LISTED.match(unmarked(line)):
                     continue
                 if s := shape(line):
                     n = shapes[s]
                     n[0] += 1
                     n[1] += i in near
-                    n[2] += not first
+                    n[2] += later
+                    n[3] |= on
             if len(words) + len(pairs) + len(shapes) > FLUSH:
                 yield flush()
     yield flush()
@@ -207,10 +222,13 @@ class Model:
     heads: set[str]
     edits: dict[tuple[str, str], float] = field(default_factory=dict)
     deletions: dict[str, list[str]] = field(default_factory=dict)
-    head_words: dict[str, list[str]] = field(default_factory=dict)
+    head_sizes: dict[int, list[tuple[str, frozenset[str]]]] = field(default_factory=dict)
     kept: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
     ruled: dict[str, list[str]] = field(default_factory=dict)
-    sound: set[str] = field(default_factory=set)
+    steps: dict[tuple[str, str], float] = field(default_factory=dict)
+    numbers: dict[str, int] = field(default_factory=dict)
+    sound_at: np.ndarray | None = None
+    pair_keys: np.ndarray | None = None
 
     def prepare(self) -> Model:
         """Indexes of the lexicon and the channel's probabilities."""
@@ -232,12 +250,16 @@ class Model:
                 over = [v for v in self._near(word) if self.words[v] >= RULES * n and _LETTERS.match(v)]
                 if over:
                     self.ruled[word] = over
-        self.sound = {w for w in self.words if w not in self.ruled} | {"#", "#c"}
+        self.numbers = _Numbers((w, i) for i, w in enumerate(dict.fromkeys(["#", "#c", *self.words])))
+        self.sound_at = np.array([w not in self.ruled for w in self.numbers] + [False])
+        size = len(self.sound_at)
+        known = (self.numbers[a] * size + self.numbers[b] for a, b in self.pairs if a in self.numbers and b in self.numbers)
+        self.pair_keys = np.array(sorted(known) or [-1], np.int64)
         least = sum(counts.values()) or 1.0
         self.edits = {e: c / least for e, c in counts.items()}
-        for s in self.heads:
-            for w in set(s.split()):
-                self.head_words.setdefault(w, []).append(s)
+        for s in sorted(self.heads):
+            words = s.split()
+            self.head_sizes.setdefault(len(words), []).append((s, frozenset(words)))
         return self
 
     def _near(self, word: str) -> set[str]:
@@ -294,11 +316,17 @@ class Model:
         return n
 
     def follows(self, before: str, word: str) -> float:
-        n = self.beside(before, word)
-        if n > 0:
-            return math.log(n / max(self.words.get(before, n), n))
-        own = 0.5 if word in self.ruled else self.words.get(word, 0.5)
-        return math.log(0.05 * own / self.total)
+        got = self.steps.get((before, word))
+        if got is None:
+            if len(self.steps) > FLUSH:
+                self.steps.clear()
+            n = self.beside(before, word)
+            if n > 0:
+                got = math.log(n / max(self.words.get(before, n), n))
+            else:
+                got = math.log(0.05 * (0.5 if word in self.ruled else self.words.get(word, 0.5)) / self.total)
+            self.steps[before, word] = got
+        return got
 
 
 def edit(meant: str, read: str) -> tuple[str, str]:
@@ -320,9 +348,9 @@ def one_edit(a: str, b: str) -> bool:
 def train(pages: DataFrame) -> Model:
     """The model of the whole collection; its size is bounded by the shares above, not by the collection."""
     one = pages.dropDuplicates(["logical_doc_id", "part_no", "physical_page"])
-    one = one.select((F.coalesce("global_page", "physical_page") <= 1).alias("first"), "raw_text", "markdown_content")
-    counted = spread(one).mapInArrow(_statistics, "kind string, a string, b string, n long, m long, k long")
-    summed = cut(counted.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in "nmk")))
+    one = one.select(F.coalesce("global_page", "physical_page").alias("page"), "raw_text", "markdown_content")
+    counted = spread(one).mapInArrow(_statistics, "kind string, a string, b string, n long, m long, k long, on long")
+    summed = cut(counted.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in "nmk"), F.bit_count(F.bit_or("on")).alias("pages")))
     whole = summed.groupBy("kind").agg(F.sum("n").alias("n")).collect()
     total = {r["kind"]: r["n"] for r in whole}
     n = max(total.get("word", 0), 1)
@@ -334,7 +362,7 @@ def train(pages: DataFrame) -> Model:
             model.words[r["a"]] = r["n"]
         elif r["kind"] == "pair":
             model.pairs[r["a"], r["b"]] = r["n"]
-        elif r["m"] >= 0.9 * r["n"] and r["k"] >= 0.5 * r["n"] and len(r["a"].split()) >= 2:
+        elif r["m"] >= 0.9 * r["n"] and r["k"] >= 0.5 * r["n"] and r["pages"] >= LEAST_COUNT and len(r["a"].split()) >= 2:
             model.heads.add(r["a"])
     return model
 
@@ -358,9 +386,10 @@ def number_of(text: str) -> int | None:
 
 
 def is_page_number(line: str, numbers: set[int]) -> bool:
-    text = re.sub(r"\s+", " ", _MARKUP.sub("", line)).strip()
+    text = unmarked(line)
     if not text or len(text) > 24:
         return False
+    text = " ".join(text.split())
     text = "".join(c for c in text if c not in "•¦|~^*_`").strip()
     if text.isdigit():
         return int(text) in numbers
@@ -378,7 +407,7 @@ def is_page_number(line: str, numbers: set[int]) -> bool:
 
 
 def is_head(line: str, model: Model, doc: str, rank: int) -> bool:
-    text = _MARKUP.sub("", line).strip()
+    text = unmarked(line)
     if not text or len(text) > 160:
         return False
     s = shape(text)
@@ -402,14 +431,13 @@ def is_head(line: str, model: Model, doc: str, rank: int) -> bool:
     words = s.split()
     if len(words) < 2:
         return False
-    shared: Counter = Counter()
-    for w in set(words):
-        for h in model.head_words.get(w, ()):
-            shared[h] += 1
-    for h, n in shared.most_common(8):
-        size = len(h.split())
-        if n * 2 >= size and abs(size - len(words)) <= 2 and difflib.SequenceMatcher(None, h, s).ratio() >= 0.82:
-            return True
+    own_words = set(words)
+    for size in range(len(words) - 2, len(words) + 3):
+        for h, its in model.head_sizes.get(size, ()):
+            if len(own_words & its) * 2 >= len(its):
+                alike = difflib.SequenceMatcher(None, h, s, autojunk=False)
+                if alike.real_quick_ratio() >= 0.82 and alike.quick_ratio() >= 0.82 and alike.ratio() >= 0.82:
+                    return True
     return False
 
 
@@ -447,18 +475,22 @@ def broken(line: str, following: str, model: Model) -> str | None:
     return None if _word_like(first, model) and _word_like(second, model) else joined
 
 
-def suspicious(coded: list[str], model: Model) -> set[int]:
-    """Words that are unknown, ruled by a commoner one, or seen with neither neighbour."""
-    pairs, sound = model.pairs, model.sound
-    out = set() if sound.issuperset(coded) else {i for i, w in enumerate(coded) if w not in sound}
-    if not all(map(pairs.__contains__, zip(coded, coded[1:]))):
-        seen = [p in pairs for p in zip(coded, coded[1:])]
-        last = len(coded) - 1
-        for i, w in enumerate(coded):
-            if i in out or i and seen[i - 1] or i < last and seen[i] or i in (0, last):
-                continue
-            out.add(i)
-    return {i for i in out if len(coded[i]) > 1 and coded[i] not in ("#", "#c")} if out else out
+class _Numbers(dict):
+    """Word numbers; an unknown word has -1."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
+def suspicious(coded: list[str], model: Model) -> list[int]:
+    """Positions of words that are unknown, ruled by a commoner one, or seen with neither neighbour."""
+    own = np.fromiter(map(model.numbers.__getitem__, coded), np.int64, len(coded))
+    out = ~model.sound_at[own]
+    if len(own) > 1:
+        keys = own[:-1] * len(model.sound_at) + own[1:]
+        seen = model.pair_keys[np.minimum(np.searchsorted(model.pair_keys, keys), len(model.pair_keys) - 1)] == keys
+        out[1:-1] |= ~seen[:-1] & ~seen[1:]
+    return [i for i in np.flatnonzero(out).tolist() if len(coded[i]) > 1 and coded[i] not in ("#", "#c")]
 
 
 def decode(coded: list[str], suspects: set[int], model: Model) -> list[str]:
@@ -505,14 +537,15 @@ _SYMBOL_IN_WORD = re.compile(r"[^\W\d_][•¦|~^*_�`\\]+[^\W\d_]|[^\W\d_]�|
 _NUMBER_MISREAD = re.compile(r"^(?=.*\d)(?=.*[lIOoSBZ])[\dlIOoSBZ]{2,6}$")
 
 
-def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tuple[list[tuple[int, str]], str]:
-    """(line number, kind) of what is wrong with a page's text, and its paragraphs put right."""
+def read_page(text: str, doc: str | None, numbers: set[int], model: Model, repair: bool = True) -> tuple[list[tuple[int, str]], str | None]:
+    """(line number, kind) of what is wrong with a page's text, and its paragraphs put right, if they are wanted."""
     lines = cleaned(text).split("\n")
     found: list[tuple[int, str]] = []
-    top, bottom = edges(lines)
+    full = written(lines)
+    top, bottom = full[:EDGE], full[-EDGE:]
     printing: set[int] = set()
-    for zone, step in ((top, 1), (bottom[::-1], 1)):
-        for rank, i in enumerate(zone[::step]):
+    for zone in (top, bottom[::-1]):
+        for rank, i in enumerate(zone):
             if i in printing:
                 continue
             if is_page_number(lines[i], numbers):
@@ -522,7 +555,7 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tu
             else:
                 break
             printing.add(i)
-    body = [i for i, line in enumerate(lines) if line.strip() and i not in printing and not _COMMENT.match(line)]
+    body = [i for i in full if i not in printing]
     following = {i: lines[j] for i, j in zip(body, body[1:])}
     joined: dict[int, str] = {}
     for i in body:
@@ -534,37 +567,56 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tu
     last = -2
     split = {i: lines[i].split() for i in body}
     known = {i: coded_chunks(chunks) for i, chunks in split.items()}
-    for at, i in enumerate(body):
+    flat: list[str] = []
+    start: dict[int, int] = {}
+    second = bool(body) and bool(split[body[0]]) and split[body[0]][0][:1].islower() and known[body[0]][0] not in model.words
+    for i in body:
+        own = known[i]
+        start[i] = len(flat)
+        if second and own:
+            own = ["#", *own[1:]]  # the second half of a word, maybe of the page before
+        if second := i in joined:
+            own = [*own[:-1], "#"]
+        flat += own
+    suspects_of: dict[int, list[int]] = {}
+    at = 0
+    for k in suspicious(flat, model) if flat else ():
+        while at + 1 < len(body) and start[body[at + 1]] <= k:
+            at += 1
+        suspects_of.setdefault(body[at], []).append(k)
+    for i in body:
         chunks, own = split[i], known[i]
-        fixed: set[int] = set()
-        if chunks and (carried is not None or i == body[0] and chunks[0][:1].islower() and own[0] not in model.words):
-            fixed.add(0)  # the second half of a word, maybe of the page before
-        if i in joined:
-            fixed.add(len(own) - 1)
-        before = known[body[at - 1]][-1:] if at and body[at - 1] not in joined else []
-        after = known[body[at + 1]][:1] if at + 1 < len(body) and i not in joined else []
-        line = [*before, *own, *after]
-        ahead = len(before)
-        suspects = {k for k in suspicious(line, model) if ahead <= k < ahead + len(own) and k - ahead not in fixed}
-        decoded = decode(line, suspects, model) if suspects else line
+        suspects = [k - start[i] for k in suspects_of.get(i, ())]
+        decoded = own
+        if suspects:
+            first, last = max(start[i] - 1, 0), min(start[i] + len(own) + 1, len(flat))
+            ahead = start[i] - first
+            line = flat[first:last]
+            decoded = decode(line, {k + ahead for k in suspects}, model)
+            decoded = own if decoded is line else [d if k in suspects else own[k] for k, d in enumerate(decoded[ahead : ahead + len(own)])]
         misread, out = False, chunks
-        if decoded is not line:
+        if decoded is not own and not repair:
+            misread = decoded != own
+        elif decoded is not own:
             out = list(chunks)
-            for k, now in enumerate(decoded[len(before) : len(before) + len(own)]):
+            for k, now in enumerate(decoded):
                 if now != own[k]:
                     misread = True
                     chunk, word = chunks[k], bare(chunks[k])
                     spot = chunk.lower().find(word)
                     if spot >= 0:
                         out[k] = chunk[:spot] + _cased(now, word, chunk[spot : spot + len(word)]) + chunk[spot + len(word) :]
-        misread = misread or any(_odd(chunks[k - ahead]) for k in suspects)
+        misread = misread or any(_odd(chunks[k]) for k in suspects)
         if misread:
             found.append((i + 1, "misread"))
+        if not repair:
+            carried = "" if i in joined else None
+            continue
         if carried is not None and out:
-            start = carried
+            begun = carried
             carried = None
             if paragraphs:
-                paragraphs[-1][-1] = start + out[0]
+                paragraphs[-1][-1] = begun + out[0]
                 out = out[1:]
                 if out:
                     paragraphs[-1] += out
@@ -578,7 +630,7 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model) -> tu
             carried = paragraphs[-1][-1].rstrip(BREAKS)
             paragraphs[-1][-1] = carried
         last = i
-    return found, "\n\n".join(" ".join(p) for p in paragraphs if p)
+    return found, "\n\n".join(" ".join(p) for p in paragraphs if p) if repair else None
 
 
 _odds: dict[str, bool] = {}
@@ -604,7 +656,7 @@ def _cased(now: str, word: str, written: str) -> str:
 _READ = "logical_doc_id string, part_no int, physical_page int, field string, lines array<int>, kinds array<string>, repaired string"
 
 
-def _read(told):
+def _read(told, repair: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value
         if not model.deletions:
@@ -615,7 +667,7 @@ def _read(told):
                 numbers = {n for n in (page, whole) if n is not None}
                 for name, text in zip(FIELDS, (raw, marked)):
                     if text:
-                        found, repaired = read_page(text, doc, numbers, model)
+                        found, repaired = read_page(text, doc, numbers, model, repair)
                         row = (doc, part, page, name, [n for n, _ in found], [k for _, k in found], repaired)
                         for column, value in zip(columns, row):
                             column.append(value)
@@ -626,13 +678,13 @@ def _read(told):
     return run
 
 
-def read_pages(pages: DataFrame) -> DataFrame:
-    """One row per page and field: what is wrong in which lines, and the repaired paragraphs."""
+def read_pages(pages: DataFrame, repair: bool = True) -> DataFrame:
+    """One row per page and field: what is wrong in which lines, and the repaired paragraphs (NULL unless they are wanted)."""
     model = train(pages)
     told = pages.sparkSession.sparkContext.broadcast(model)
     key = ["logical_doc_id", "part_no", "physical_page"]
     rows = pages.select(*key, F.coalesce("global_page", "physical_page").alias("global_page"), *FIELDS)
-    return spread(rows).mapInArrow(_read(told), _READ)
+    return spread(rows).mapInArrow(_read(told, repair), _READ)
 
 
 def found_lines(read: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.found_lines(pages.read_pages(table(spark, folder, "silver_pages")))
+    return pages.found_lines(pages.read_pages(table(spark, folder, "silver_pages"), repair=False))
 
 
 def p1_texts(spark: SparkSession, folder: str) -> DataFrame:

@@ -35,7 +35,8 @@ LATIN = CYRILLIC | GREEK | RARE
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items()}
 TO_GREEK = {v: k for k, v in GREEK.items()}
 
-_PLAIN = WIDE | dict.fromkeys(map(ord, SPACES), " ") | dict.fromkeys(map(ord, INVISIBLE))
+# Letters that stay are in the table too: a character that a table lacks costs several times as much.
+_PLAIN = {c: c for c in (*range(0x250), *range(0x1E00, 0x1F00))} | WIDE | dict.fromkeys(map(ord, SPACES), " ") | dict.fromkeys(map(ord, INVISIBLE))
 _FLAGS = {
     "fullwidth": re.compile("[！-～]"),
     "decomposed": re.compile("[̀-ͯ᷀-᷿⃐-⃿]"),

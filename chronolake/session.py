@@ -46,7 +46,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores where the files make fewer tasks than that, before costly work on each row."""
+    """Rows over all cores where the files make fewer tasks than that, before costly work on each row.
+
+    For plans that only scan: behind an exchange the question for the number of partitions would already run it.
+    """
     width = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= width:
         return df

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolake.session import cut, spread
+from chronolake.session import cut
 
 THRESHOLD = Fraction(3, 5)
 LEAST_WORDS = 70
@@ -452,7 +452,7 @@ def similar_texts(
     rows = texts.filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least_words - 1)).select(
         F.col("source").cast("int").alias("source"), "id", F.xxhash64("text").alias("doc"), "text"
     )
-    own = spread(rows.groupBy("source", "doc").agg(F.first("text").alias("text")), "source", "doc")
+    own = rows.groupBy("source", "doc").agg(F.first("text").alias("text"))
     sets = cut(own.select("source", "doc", "text").mapInArrow(_sets(least_words, shingle), "source int, doc long, shingles binary"))
     # One exchange of the ids serves their distinctness and every join on the text.
     members = rows.select("source", "doc", "id").repartition("source", "doc").distinct()

@@ -227,6 +227,7 @@ class Model:
     ruled: dict[str, list[str]] = field(default_factory=dict)
     steps: dict[tuple[str, str], float] = field(default_factory=dict)
     numbers: dict[str, int] = field(default_factory=dict)
+    chunk_numbers: dict[str, int] = field(default_factory=dict)
     sound_at: np.ndarray | None = None
     pair_keys: np.ndarray | None = None
 
@@ -251,6 +252,7 @@ class Model:
                 if over:
                     self.ruled[word] = over
         self.numbers = _Numbers((w, i) for i, w in enumerate(dict.fromkeys(["#", "#c", *self.words])))
+        self.chunk_numbers = _ChunkNumbers(self.numbers)
         self.sound_at = np.array([w not in self.ruled for w in self.numbers] + [False])
         size = len(self.sound_at)
         known = (self.numbers[a] * size + self.numbers[b] for a, b in self.pairs if a in self.numbers and b in self.numbers)
@@ -349,7 +351,7 @@ def train(pages: DataFrame) -> Model:
     """The model of the whole collection; its size is bounded by the shares above, not by the collection."""
     one = pages.dropDuplicates(["logical_doc_id", "part_no", "physical_page"])
     one = one.select(F.coalesce("global_page", "physical_page").alias("page"), "raw_text", "markdown_content")
-    counted = spread(one).mapInArrow(_statistics, "kind string, a string, b string, n long, m long, k long, on long")
+    counted = one.mapInArrow(_statistics, "kind string, a string, b string, n long, m long, k long, on long")
     summed = cut(counted.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in "nmk"), F.bit_count(F.bit_or("on")).alias("pages")))
     whole = summed.groupBy("kind").agg(F.sum("n").alias("n")).collect()
     total = {r["kind"]: r["n"] for r in whole}
@@ -482,15 +484,30 @@ class _Numbers(dict):
         return -1
 
 
-def suspicious(coded: list[str], model: Model) -> list[int]:
-    """Positions of words that are unknown, ruled by a commoner one, or seen with neither neighbour."""
-    own = np.fromiter(map(model.numbers.__getitem__, coded), np.int64, len(coded))
+class _ChunkNumbers(dict):
+    """The word number of a chunk between blanks, worked out once."""
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, chunk: str) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        got = self[chunk] = self.numbers[code(bare(chunk))]
+        return got
+
+
+def suspicious(numbers: list[int], model: Model) -> list[int]:
+    """Positions of words that are unknown, ruled by a commoner one, or seen with neither neighbour; numbers never are."""
+    own = np.array(numbers, np.int64)
     out = ~model.sound_at[own]
     if len(own) > 1:
         keys = own[:-1] * len(model.sound_at) + own[1:]
         seen = model.pair_keys[np.minimum(np.searchsorted(model.pair_keys, keys), len(model.pair_keys) - 1)] == keys
         out[1:-1] |= ~seen[:-1] & ~seen[1:]
-    return [i for i in np.flatnonzero(out).tolist() if len(coded[i]) > 1 and coded[i] not in ("#", "#c")]
+    out &= (own < 0) | (own > 1)
+    return np.flatnonzero(out).tolist()
 
 
 def decode(coded: list[str], suspects: set[int], model: Model) -> list[str]:
@@ -566,32 +583,48 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model, repai
     carried: str | None = None
     last = -2
     split = {i: lines[i].split() for i in body}
-    known = {i: coded_chunks(chunks) for i, chunks in split.items()}
-    flat: list[str] = []
+    number = model.chunk_numbers.__getitem__
+    flat: list[int] = []
     start: dict[int, int] = {}
-    second = bool(body) and bool(split[body[0]]) and split[body[0]][0][:1].islower() and known[body[0]][0] not in model.words
-    for i in body:
-        own = known[i]
+    halved: set[int] = set()  # lines that begin with the second half of a word, maybe of the page before
+    if body and split[body[0]][0][:1].islower() and number(split[body[0]][0]) < 0:
+        halved.add(body[0])
+    for at, i in enumerate(body):
+        own = list(map(number, split[i]))
         start[i] = len(flat)
-        if second and own:
-            own = ["#", *own[1:]]  # the second half of a word, maybe of the page before
-        if second := i in joined:
-            own = [*own[:-1], "#"]
+        if at and body[at - 1] in joined:
+            halved.add(i)
+        if i in halved:
+            own[0] = 0
+        if i in joined:
+            own[-1] = 0
         flat += own
+
+    def words_of(i: int) -> list[str]:
+        own = coded_chunks(split[i])
+        if i in halved:
+            own[0] = "#"
+        if i in joined:
+            own[-1] = "#"
+        return own
+
     suspects_of: dict[int, list[int]] = {}
+    place: dict[int, int] = {}
     at = 0
     for k in suspicious(flat, model) if flat else ():
         while at + 1 < len(body) and start[body[at + 1]] <= k:
             at += 1
         suspects_of.setdefault(body[at], []).append(k)
+        place[body[at]] = at
     for i in body:
-        chunks, own = split[i], known[i]
-        suspects = [k - start[i] for k in suspects_of.get(i, ())]
-        decoded = own
+        chunks, suspects = split[i], [k - start[i] for k in suspects_of.get(i, ())]
+        own = decoded = words_of(i) if suspects else []
+        suspects = [k for k in suspects if len(own[k]) > 1]
         if suspects:
-            first, last = max(start[i] - 1, 0), min(start[i] + len(own) + 1, len(flat))
-            ahead = start[i] - first
-            line = flat[first:last]
+            before = words_of(body[place[i] - 1])[-1:] if place[i] else []
+            after = words_of(body[place[i] + 1])[:1] if place[i] + 1 < len(body) else []
+            ahead = len(before)
+            line = [*before, *own, *after]
             decoded = decode(line, {k + ahead for k in suspects}, model)
             decoded = own if decoded is line else [d if k in suspects else own[k] for k, d in enumerate(decoded[ahead : ahead + len(own)])]
         misread, out = False, chunks

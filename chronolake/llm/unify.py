@@ -106,7 +106,10 @@ def kinds(text: str) -> list[str]:
 
 def mixed(text: str) -> set[str]:
     """Tokens of a text in plain form that may hold look-alikes."""
-    return {m[0] for m in _TOKEN.finditer(text) if _SUSPECT.search(m[0])} if _SUSPECT.search(text) else set()
+    if not _SUSPECT.search(text):
+        return set()
+    chunks = {chunk for chunk in text.split() if _SUSPECT.search(chunk)}
+    return {m[0] for chunk in chunks for m in _TOKEN.finditer(chunk) if _SUSPECT.search(m[0])}
 
 
 _SURVEY = "tag string, source_table string, row_key string, a string, b string, rank int"

@@ -53,9 +53,11 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int, id_column: str) -> DataFr
     wanted = own.join(asked.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     scored = (
-        wanted.join(asked, "term").join(df, "term").crossJoin(F.broadcast(whole))
+        wanted.join(df, "term").crossJoin(F.broadcast(whole))
+        .select("term", id_column, (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("n_words"), F.col("mean"))).alias("weight"))
+        .join(asked, "term")
         .groupBy("sample_id", id_column)
-        .agg(F.round(F.sum(F.col("times") * idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("n_words"), F.col("mean"))), 6).alias("score"))
+        .agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
     )
     return top(scored, k, id_column)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,21 @@ ACCENTED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềế
 PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd"
 
 
+def _letters_under_accents() -> dict[str, str]:
+    """Every letter that Unicode composes of one letter and accents, of any script, and that letter."""
+    found = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        parts = unicodedata.normalize("NFD", c)
+        bare = [x for x in parts if unicodedata.category(x) != "Mn"]
+        if len(parts) > len(bare) == 1:
+            found[c] = bare[0]
+    return found
+
+
+_UNDER = _letters_under_accents() | {"đ": "d"}
+
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -27,8 +45,8 @@ def space_tokens(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without Vietnamese accents, combining marks dropped."""
-    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), ACCENTED, PLAIN)
+    """Lower case without accents, whether composed with their letters or written after them; other characters stay."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}", ""), "".join(_UNDER), "".join(_UNDER.values()))
 
 
 def ngrams(words: Column, n: int) -> Column:

@@ -137,10 +137,17 @@ _USUAL = f"[^\\x00-\\x7F{text.ACCENTED}{text.ACCENTED.upper()}–…“”]"
 
 @query(f"SELECT doc_id, strip_accents(replace(lower(text), 'đ', 'd')) AS folded FROM documents WHERE lang = 'vi' AND NOT regexp_matches(text, '{_USUAL}')")
 def folded_texts(spark, folder):
+    """Only texts with lang = 'vi' and usual characters, as its SQL says; folded_documents folds all."""
     rows = table(spark, folder, "documents").filter((F.col("lang") == "vi") & ~F.col("text").rlike(_USUAL))
     return rows.select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
+@query("SELECT doc_id, strip_accents(replace(lower(text), 'đ', 'd')) AS folded FROM documents")
+def folded_documents(spark, folder):
+    """Every document, whatever its language and characters."""
+    return table(spark, folder, "documents").select("doc_id", text.fold(F.col("text")).alias("folded"))
+
+
 @query("""SELECT DISTINCT doc_id, id AS cited FROM (SELECT doc_id, unnest(regexp_extract_all(upper(text), '[0-9]{1,5}/[0-9]{4}/[\\p{Lu}0-9]+(?:-[\\p{Lu}0-9]+)*')) AS id FROM documents)""")
 def document_ids_named(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.explode(text.doc_ids(F.col("text"))).alias("cited"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import unicodedata
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chronolake.functions import dates, quality, text
 from chronolake.operators import asof, chunking, contracts, evaluation, lake, retrieval, structure
+from chronolake.plans import catalogue
 from chronolake.session import checkpoint_dir, cut
 from chronolake.sources import files, hooks
 
@@ -29,6 +31,21 @@ def test_fold_and_strip(spark):
     assert df.select(text.fold(text.strip_space(F.col("t")))).first()[0] == "duong ung"
 
 
+def test_fold_of_any_text_in_any_form(spark):
+    said = ["ĐƯỜNG ỨNG", "Ngày mồng một", "Müller, Łódź, façade", "έργο", "московский", "điều\xa03 ３Ａ", "оng", "⚖\ufe0f½", "", None]
+    forms = [(t and unicodedata.normalize(form, t),) for t in said for form in ("NFC", "NFD")]
+    df = spark.createDataFrame(forms, "t string")
+    plain = ["duong ung", "ngay mong mot", "muller, łodz, facade", "εργο", "московскии", "dieu\xa03 ３ａ", "оng", "⚖½", "", None]
+    assert [r[0] for r in df.select(text.fold(F.col("t"))).collect()] == [t for t in plain for _ in range(2)]
+
+
+def test_every_document_is_folded(spark, folder):
+    asked = spark.read.parquet(f"{folder}/documents.parquet")
+    got = catalogue.QUERIES["folded_documents"](spark, folder)
+    assert sorted(r[0] for r in got.select("doc_id").collect()) == sorted(r[0] for r in asked.select("doc_id").collect())
+    assert got.filter("folded is null").count() == asked.filter("text is null").count()
+
+
 @pytest.mark.parametrize("n, pieces", [(0, 0), (1, 1), (511, 1), (512, 1), (513, 2), (960, 2), (961, 3), (1408, 3)])
 def test_windows_count(spark, n, pieces):
     df = spark.createDataFrame([(" ".join(map(str, range(n))),)], "t string").select(text.space_tokens(F.col("t")).alias("w"))

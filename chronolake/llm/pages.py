@@ -1,7 +1,7 @@
 """Problem 1: repair the text of scanned pages into continuous paragraphs.
 
 Three statistics of the whole collection, each page counted once, make the model: how often each word and each pair of neighbours
-occurs, and how often each shape of a line stands at the edge of pages. Their size is bounded by a share of the whole: there can
+occurs, and how often each shape of a line stands at the edge of pages; shapes common there are then counted everywhere. Their size is bounded by a share of the whole: there can
 be no more than 1 / share entries of at least that share, so they may be sent to all tasks at any size of the collection.
 
 * Running heads: lines in a page's first or last few whose shape (letters without accents) is one that the
@@ -38,6 +38,8 @@ from chronolake.session import cut, spread
 #: Least share of all words that an entry of the lexicon, of the neighbours and of the shapes needs.
 WORD_SHARE, PAIR_SHARE, SHAPE_SHARE = 5e-7, 4e-7, 2e-4
 LEAST_COUNT = 3
+#: Share of a head's lines that stand at the edges of pages.
+HEADS = 0.9
 #: Lines from a page's top and bottom that may belong to the printing.
 EDGE = 3
 #: A word is taken for another one's misreading in the estimate of the channel if that is so many times as frequent.
@@ -145,26 +147,32 @@ def written(lines: list[str]) -> list[int]:
     return [i for i, line in enumerate(lines) if line and not line.isspace() and not (line.lstrip()[:4] == "<!--" and _COMMENT.match(line))]
 
 
+def edge_shapes(lines: list[str]) -> Counter:
+    """Shapes of the lines at a page's edges that may be heads."""
+    top, bottom = edges(lines)
+    near = [lines[i] for i in {*top, *bottom}]
+    return Counter(s for line in near if len(line) <= 160 and not _LISTED.match(unmarked(line)) and (s := shape(line)))
+
+
 # --- statistics -----------------------------------------------------------------------------------------------------------
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
     pairs: Counter = Counter()
-    shapes: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+    shapes: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        rows = [("word", w, "", n, 0, 0, 0) for w, n in words.items()]
-        rows += [("pair", a, b, n, 0, 0, 0) for (a, b), n in pairs.items()]
-        rows += [("shape", s, "", *n) for s, n in shapes.items()]
+        rows = [("word", w, "", n) for w, n in words.items()]
+        rows += [("pair", a, b, n) for (a, b), n in pairs.items()]
+        rows += [("shape", s, "", n) for s, n in shapes.items()]
         words.clear(), pairs.clear(), shapes.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        columns = list(zip(*rows)) if rows else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "a", "b", "n", "m", "k", "on"])
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "a", "b", "n"])
 
     for batch in batches:
-        for page, raw, marked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            later, on = (page or 0) > 1, 1 << (page or 0) % 60
+        for raw, marked in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
             # The fuller of the two texts stands for the page.
             text = max(raw or "", marked or "", key=len)
             if not text:
@@ -185,35 +193,73 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     coded += own
             words.update(coded)
             pairs.update(zip(coded, coded[1:]))
-            top, bottom = edges(lines)
-            near = {*top, *bottom}
+            at_edge = edge_shapes(lines)
             other = marked if text is raw else raw
             if other and other is not text:
                 # heads may stand in one of the two only
-                more = cleaned(other).split("\n")
-                more = [more[i] for i in {*edges(more)[0], *edges(more)[1]}]
-                own = {s for i in near if (s := shape(lines[i]))}
-                for line in more:
-                    if len(line) <= 160 and not _LISTED.match(unmarked(line)) and (s := shape(line)) and s not in own:
-                        n = shapes[s]
-                        n[0] += 1
-                        n[1] += 1
-                        n[2] += later
-                        n[3] |= on
-            for i, line in enumerate(lines):
-                if not line or len(line) > 160 or not (i in near or len(line) < 40) or _LISTED.match(unmarked(line)):
-                    continue
-                if s := shape(line):
-                    n = shapes[s]
-                    n[0] += 1
-                    n[1] += i in near
-                    n[2] += later
-                    n[3] |= on
+                at_edge |= edge_shapes(cleaned(other).split("\n"))
+            shapes.update(at_edge)
             if len(words) + len(pairs) + len(shapes) > FLUSH:
                 yield flush()
     yield flush()
 
 
+class _Shapes(dict):
+    """The words in the shape of a chunk between blanks, worked out once."""
+
+    def __missing__(self, chunk: str) -> list[str]:
+        if len(self) > FLUSH:
+            self.clear()
+        got = self[chunk] = shape(chunk).split()
+        return got
+
+    def of(self, line: str, begins: set[tuple[str, str]]) -> str:
+        """The line's shape if it begins with two of these words."""
+        out: list[str] = []
+        for chunk in line.split(None, 4)[:4]:
+            out += self[chunk]
+            if len(out) > 1:
+                if (out[0], out[1]) not in begins:
+                    return ""
+                break
+        return " ".join([w for chunk in line.split() for w in self[chunk]])
+
+
+def _standing(told):
+    """How often the told shapes stand anywhere, at edges, on later pages, and on pages of which numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: set[str] = told.value
+        begins, known = {tuple(s.split(" ", 2)[:2]) for s in asked}, _Shapes()
+        counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
+        for batch in batches:
+            for page, raw, marked in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                later, on = (page or 0) > 1, 1 << (page or 0) % 60
+                one: Counter = Counter()
+                at_edge: Counter = Counter()
+                for text in dict.fromkeys((raw, marked)):
+                    if not text:
+                        continue
+                    lines = cleaned(text).split("\n")
+                    found = [(i, s) for i, line in enumerate(lines) if line and (s := known.of(line, begins)) in asked and not _LISTED.match(unmarked(line))]
+                    if found:
+                        top, bottom = edges(lines)
+                        near = {i for i in (*top, *bottom) if len(lines[i]) <= 160}
+                        one |= Counter(s for _, s in found)
+                        at_edge |= Counter(s for i, s in found if i in near)
+                for s, n in one.items():
+                    own = counts[s]
+                    own[0] += n
+                    own[1] += at_edge[s]
+                    own[2] += later * n
+                    own[3] |= on
+        columns = [list(counts), *(list(c) for c in zip(*counts.values()))] if counts else [[]] * 5
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["a", "n", "m", "k", "on"])
+
+    return run
+
+
 @dataclass
 class Model:
     words: dict[str, int]
@@ -351,21 +397,30 @@ def train(pages: DataFrame) -> Model:
     """The model of the whole collection; its size is bounded by the shares above, not by the collection."""
     one = pages.dropDuplicates(["logical_doc_id", "part_no", "physical_page"])
     one = one.select(F.coalesce("global_page", "physical_page").alias("page"), "raw_text", "markdown_content")
-    counted = one.mapInArrow(_statistics, "kind string, a string, b string, n long, m long, k long, on long")
-    summed = cut(counted.groupBy("kind", "a", "b").agg(*(F.sum(c).alias(c) for c in "nmk"), F.bit_count(F.bit_or("on")).alias("pages")))
+    counted = one.mapInArrow(_statistics, "kind string, a string, b string, n long")
+    summed = cut(counted.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
     whole = summed.groupBy("kind").agg(F.sum("n").alias("n")).collect()
     total = {r["kind"]: r["n"] for r in whole}
     n = max(total.get("word", 0), 1)
     least = {"word": max(LEAST_COUNT, n * WORD_SHARE), "pair": max(LEAST_COUNT, n * PAIR_SHARE), "shape": max(LEAST_COUNT, one.count() * SHAPE_SHARE)}
+    # Of the shapes at edges that are common enough there, all lines are counted, wherever they stand.
+    least["shape"] *= HEADS
     limit = F.create_map(*(F.lit(x) for k, v in least.items() for x in (k, float(v))))
     model = Model({}, {}, n, set())
+    asked: set[str] = set()
     for r in summed.filter(F.col("n") >= limit[F.col("kind")]).toLocalIterator():
         if r["kind"] == "word":
             model.words[r["a"]] = r["n"]
         elif r["kind"] == "pair":
             model.pairs[r["a"], r["b"]] = r["n"]
-        elif r["m"] >= 0.9 * r["n"] and r["k"] >= 0.5 * r["n"] and r["pages"] >= LEAST_COUNT and len(r["a"].split()) >= 2:
-            model.heads.add(r["a"])
+        elif len(r["a"].split()) >= 2:
+            asked.add(r["a"])
+    if asked:
+        told = pages.sparkSession.sparkContext.broadcast(asked)
+        standing = one.mapInArrow(_standing(told), "a string, n long, m long, k long, on long").groupBy("a")
+        standing = standing.agg(*(F.sum(c).alias(c) for c in "nmk"), F.bit_count(F.bit_or("on")).alias("pages"))
+        heads = (F.col("n") * HEADS >= least["shape"]) & (F.col("m") >= HEADS * F.col("n")) & (F.col("k") >= 0.5 * F.col("n"))
+        model.heads = {r["a"] for r in standing.filter(heads & (F.col("pages") >= LEAST_COUNT)).collect()}
     return model
 
 

@@ -305,6 +305,27 @@ def test_pages(spark):
     assert pages.found_lines(pages.read_pages(df.filter("false"))).count() == 0
 
 
+PAGES = "logical_doc_id string, part_no int, physical_page int, global_page int, raw_text string, markdown_content string"
+
+
+def test_long_lines_of_the_body_are_no_heads(spark):
+    long = "cơ quan quản lý bến phải đăng tải văn bản đề nghị trong vòng nhiều giờ"
+    assert len(long) >= 40
+
+    def page(n, at_edge):
+        own = [f"{c * 3} riêng {chr(97 + n // 10)}{chr(97 + n % 10)}" for c in "bcdghklm"]
+        own[-1 if at_edge else 4] = long
+        return "\n".join([f"CÔNG BÁO/Số 1 + 2/Ngày 3-4-2020   {n}", *own])
+
+    once = [("1/2020/QH14", 1, n, n, page(n, n % 3 == 0), None) for n in range(2, 32)]
+    joined = [(*row[:5], "# " + row[4].replace("\n", "  ")) for row in once]
+    for rows in (once, joined):
+        df = spark.createDataFrame(rows, PAGES)
+        assert pages.train(df).heads == {"cong bao so ngay"}
+        found = pages.found_lines(pages.read_pages(df)).filter("field = 'raw_text' and kind = 'running_head'")
+        assert {r["line_no"] for r in found.collect()} == {1}
+
+
 @pytest.mark.parametrize("line, is_number", [("[3]", True), ("- 3 -", True), ("Trang 3/88", True), ("iii", True), ("l3", False), ("4", False), ("3", True), ("3 điều", False), ("", False)])
 def test_page_numbers(line, is_number):
     assert pages.is_page_number(line, {3}) is is_number

@@ -8,7 +8,8 @@ one place is known without it in another. Loopy message passing finds each candi
 
 The model is trained when the query runs, on at most TRAIN_TEXTS texts with the least hashes: cues that leave no doubt (titles,
 "điện thoại", "mã số thuế" and the like) label part of their candidates, and each labelled candidate is learnt with its cues and
-without them. The lexicon of names grows from the same texts. Nothing else is sampled: all texts are searched whole.
+without them. The lexicon of names grows from the titles in all texts, since it bounds which names are proposed. Only the weights come
+from a sample: all texts are searched whole.
 
 Cases: NULL, empty and blank texts have no mentions and stay as they are; repeated rows count once in what is found; a text
 without candidates is returned as it is; NULL ids are kept; any length of text.
@@ -352,24 +353,64 @@ def features(c: Candidate, cues: bool = True) -> list[str]:
     return out
 
 
-def learn_names(texts: list[str]) -> Names:
-    """Family and given names that follow titles."""
+# names without accents are known by those with them
+_TITLED = re.compile(
+    rf"(?:(?<!\w)(?:ông|bà|anh|chị|cô|bác|chú|đồng chí|tên là|Mr\.|Mrs\.|Ms\.|Witness)) ([{_UP}][^\W\d_]*(?: [{_UP}][^\W\d_]*){{1,3}})(?=[,;.()\n]| [a-zđ(])"
+)
+
+
+def titled(text: str) -> tuple[Counter, Counter]:
+    """How often words stand first and how often further back in names that follow titles."""
     first, rest = Counter(), Counter()
-    word = rf"[{_UP}][^\W\d_]*"
-    # names without accents are known by those with them
-    pattern = re.compile(rf"(?:(?<!\w)(?:ông|bà|anh|chị|cô|bác|chú|đồng chí|tên là|Mr\.|Mrs\.|Ms\.|Witness)) ({word}(?: {word}){{1,3}})(?=[,;.()\n]| [a-zđ(])")
-    for text in texts:
-        for m in pattern.finditer(text or ""):
-            head, *tail = m[1].lower().split()
-            if not m[1].isascii():
-                first[head] += 1
-                rest.update(tail)
-    families = {w for w, n in first.items() if n >= 5 and n > rest[w] / 20} | set(FAMILIES)
+    for name in _TITLED.findall(text):
+        if not name.isascii():
+            head, *tail = name.lower().split()
+            first[head] += 1
+            rest.update(tail)
+    return first, rest
+
+
+def known_names(first: dict[str, int], rest: dict[str, int]) -> Names:
+    """Family and given names that follow titles."""
+    families = {w for w, n in first.items() if n >= 5 and n > rest.get(w, 0) / 20} | set(FAMILIES)
     return Names(families, {w for w, n in rest.items() if n >= 3})
 
 
-def train(texts: list[str]) -> Model:
-    names = learn_names(texts)
+def learn_names(texts: list[str]) -> Names:
+    first, rest = Counter(), Counter()
+    for text in texts:
+        for total, own in zip((first, rest), titled(text or "")):
+            total.update(own)
+    return known_names(first, rest)
+
+
+def _titled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [
+            (key, w, own[0][w], own[1][w])
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for own in (titled(text),)
+            for w in own[0] | own[1]
+        ]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["text", "word", "first", "rest"])
+
+
+def names_of_all(documents: DataFrame) -> Names:
+    """The names that titles reveal in all texts, equal texts counted once; a text is known by 64 bits."""
+    rows = spread(documents.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("text_key"), "text"))
+    each = rows.mapInArrow(_titled, "text long, word string, first long, rest long").dropDuplicates(["text", "word"])
+    counts = each.groupBy("word").agg(F.sum("first").alias("first"), F.sum("rest").alias("rest"))
+    # Only words that known_names can take come to the driver.
+    first, rest = {}, {}
+    for r in counts.filter("first >= 5 or rest >= 3").collect():
+        first[r["word"]], rest[r["word"]] = r["first"], r["rest"]
+    return known_names(first, rest)
+
+
+def train(texts: list[str], names: Names | None = None) -> Model:
+    names = names or learn_names(texts)
     found = [candidates(t, names) for t in texts if t]
     index: dict[str, int] = {}
     rows: list[tuple[list[int], int, str]] = []
@@ -494,7 +535,7 @@ def protect(documents: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     share = min(1.0, 3.0 * train_texts / max(1, documents.count()))
     sample = documents.filter((spot < int(share * 1_000_000) + 1) & (F.length(F.trim("text")) > 0)).select("text").distinct()
     sample = sample.orderBy(F.xxhash64("text"), "text").limit(train_texts)
-    model = train([r["text"] for r in sample.collect()])
+    model = train([r["text"] for r in sample.collect()], names_of_all(documents))
     told = documents.sparkSession.sparkContext.broadcast(model)
     rows = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.mapInArrow(_find(told), "doc_id long, kinds array<string>, starts array<int>, redacted string")

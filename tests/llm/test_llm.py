@@ -365,6 +365,16 @@ def test_mentions_of_rows(spark):
     assert personal.found_mentions(personal.protect(df.filter("false"))).count() == 0
 
 
+def test_names_outside_the_training_sample_are_proposed(spark):
+    usual = [f"{SENTENCES[n % len(SENTENCES)]} Tờ {n}." for n in range(300)]
+    rare = [*(f"Nguyên đơn là ông Đỗ Khuê Mẫn, căn cước 09229864872{n}." for n in range(3)), "Giấy tờ tùy thân số 054364682889 do Đỗ Khuê Mẫn xuất trình."]
+    df = spark.createDataFrame(list(enumerate(usual + rare)), "doc_id long, text string")
+    got = {r["doc_id"]: r["redacted"] for r in personal.protect(df, train_texts=60).collect()}
+    assert len(got) == len(usual + rare) and got[303] == "Giấy tờ tùy thân số [IDENTITY] do [NAME] xuất trình."
+    twice = personal.names_of_all(df.union(df))
+    assert {"khuê", "mẫn"} <= twice.given and twice.given == personal.learn_names(usual + rare).given
+
+
 def test_messages_make_repeats_agree():
     model = personal.Model(personal.Names(set(personal.FAMILIES), {"gia"}), {"person|": np.zeros(6), "person|a": np.array([0, 0, 0, 0, 0, 3.0]), "person|b": np.array([0.5, 0, 0, 0, 0, 0])}, np.zeros((6, 6)), 2.5, 0.0)
     a = personal.Candidate("person", 0, 5, ["a"], same="x", alike="x")

@@ -136,6 +136,22 @@ def coded_chunks(chunks: list[str]) -> list[str]:
     return out
 
 
+def coded_lines(lines: list[str]) -> list[str]:
+    """The words of the lines; halves of words cut by a line's end are numbers."""
+    coded: list[str] = []
+    cut_off = False
+    for line in lines:
+        chunks = line.split()
+        if chunks:
+            own = coded_chunks(chunks)
+            if cut_off:
+                own[0] = "#"
+            if cut_off := len(chunks[-1]) > 1 and chunks[-1][-1] in BREAKS:
+                own[-1] = "#"  # half a word
+            coded += own
+    return coded
+
+
 def edges(lines: list[str]) -> tuple[list[int], list[int]]:
     """Numbers of the first and of the last lines that are not blank."""
     full = written(lines)
@@ -173,31 +189,25 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for raw, marked in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
-            # The fuller of the two texts stands for the page.
-            text = max(raw or "", marked or "", key=len)
-            if not text:
-                continue
-            lines = cleaned(text).split("\n")
-            if _COMMENT.match(lines[0]):
-                lines = lines[1:]
-            coded: list[str] = []
-            cut_off = False
-            for line in lines:
-                chunks = line.split()
-                if chunks:
-                    own = coded_chunks(chunks)
-                    if cut_off:
-                        own[0] = "#"
-                    if cut_off := len(chunks[-1]) > 1 and chunks[-1][-1] in BREAKS:
-                        own[-1] = "#"  # half a word
-                    coded += own
-            words.update(coded)
-            pairs.update(zip(coded, coded[1:]))
-            at_edge = edge_shapes(lines)
-            other = marked if text is raw else raw
-            if other and other is not text:
-                # heads may stand in one of the two only
-                at_edge |= edge_shapes(cleaned(other).split("\n"))
+            # Heads, words and pairs may stand in one of the two texts only; of what both have, the more counts.
+            first: list[str] | None = None
+            at_edge: Counter = Counter()
+            for text in dict.fromkeys((raw, marked)):
+                if not text:
+                    continue
+                lines = cleaned(text).split("\n")
+                at_edge |= edge_shapes(lines)
+                coded = coded_lines(lines[1:] if _COMMENT.match(lines[0]) else lines)
+                if first is None:
+                    first = coded
+                    words.update(coded)
+                    pairs.update(zip(coded, coded[1:]))
+                elif coded != first:
+                    for total, one, two in ((words, first, coded), (pairs, zip(first, first[1:]), zip(coded, coded[1:]))):
+                        known, other = Counter(one), Counter(two)
+                        for w, n in other.items() - known.items():
+                            if n > known[w]:
+                                total[w] += n - known[w]
             shapes.update(at_edge)
             if len(words) + len(pairs) + len(shapes) > FLUSH:
                 yield flush()

@@ -326,6 +326,13 @@ def test_long_lines_of_the_body_are_no_heads(spark):
         assert {r["line_no"] for r in found.collect()} == {1}
 
 
+def test_words_of_both_texts_of_a_page_count(spark):
+    rows = [("d", 1, n, n, "hồ sơ kho hàng vàng vàng", "<!-- PageProvenance: physical_file=x -->\nhồ sơ hồ sơ kho bến vàng") for n in range(5)]
+    model = pages.train(spark.createDataFrame(rows, PAGES))
+    assert model.words == {"hồ": 10, "sơ": 10, "kho": 5, "hàng": 5, "vàng": 10, "bến": 5}
+    assert model.pairs["kho", "hàng"] == model.pairs["kho", "bến"] == model.pairs["sơ", "hồ"] == 5 and model.pairs["hồ", "sơ"] == 10
+
+
 @pytest.mark.parametrize("line, is_number", [("[3]", True), ("- 3 -", True), ("Trang 3/88", True), ("iii", True), ("l3", False), ("4", False), ("3", True), ("3 điều", False), ("", False)])
 def test_page_numbers(line, is_number):
     assert pages.is_page_number(line, {3}) is is_number

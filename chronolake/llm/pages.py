@@ -359,7 +359,7 @@ class Model:
             else:
                 found = {v for v in self._near(word) if self.words[v] > own}
             got = [(v, self.channel(v, word)) for v in found if _LETTERS.match(v)]
-            got = sorted(got, key=lambda c: -c[1] - math.log(self.words[c[0]]))[:12]
+            got = sorted(got, key=lambda c: -c[1] - math.log(self.words[c[0]]))
             self.kept[word] = got
         return got
 

@@ -333,6 +333,13 @@ def test_words_of_both_texts_of_a_page_count(spark):
     assert model.pairs["kho", "hàng"] == model.pairs["kho", "bến"] == model.pairs["sơ", "hồ"] == 5 and model.pairs["hồ", "sơ"] == 10
 
 
+def test_every_candidate_of_a_word_meets_its_neighbours():
+    words = {c + "an": 1000 for c in "bcdghklmnprstv"} | {"xan": 300, "toi": 1000}
+    model = pages.Model(words, {("toi", "xan"): 300}, 100_000, set()).prepare()
+    assert {w for w, _ in model.candidates("qan")} == set(words) - {"toi"}
+    assert pages.decode(["toi", "qan"], {1}, model) == ["toi", "xan"]
+
+
 @pytest.mark.parametrize("line, is_number", [("[3]", True), ("- 3 -", True), ("Trang 3/88", True), ("iii", True), ("l3", False), ("4", False), ("3", True), ("3 điều", False), ("", False)])
 def test_page_numbers(line, is_number):
     assert pages.is_page_number(line, {3}) is is_number

@@ -24,8 +24,9 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -80,11 +81,8 @@ def cleaned(text: str) -> str:
     if not _SEEN.search(text) and unicodedata.is_normalized("NFC", text):
         return text
     text = unify.plain(text)
-    for token in unify.mixed(text):
-        forms = [f for f in unify.proposals(token) if unify.script(f[0]) == "latin"]
-        if forms:
-            text = text.replace(token, forms[0])
-    return text
+    usual = {token: forms[0] for token in unify.mixed(text) if (forms := [f for f in unify.proposals(token) if unify.script(f[0]) == "latin"])}
+    return unify.exchanged(text, usual) if usual else text
 
 
 def fold(text: str) -> str:
@@ -136,26 +134,68 @@ def coded_chunks(chunks: list[str]) -> list[str]:
     return out
 
 
-def coded_lines(lines: list[str]) -> list[str]:
-    """The words of the lines; halves of words cut by a line's end are numbers."""
-    coded: list[str] = []
+class Coded(dict):
+    """The number of the word in a chunk between blanks, worked out once; 0 stands for numbers and halves of words."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[str] = ["#"]
+        self.of_word: dict[str, int] = {"#": 0}
+
+    def __missing__(self, chunk: str) -> int:
+        word = code(bare(chunk))
+        got = self.of_word.get(word)
+        if got is None:
+            got = self.of_word[word] = len(self.words)
+            self.words.append(word)
+        self[chunk] = got
+        return got
+
+
+Key = tuple[str, int, bool]
+
+
+def coded_lines(lines: list[str], number: Coded, kept: dict[str, tuple[list[int], bool]]) -> tuple[list[int], list[Key]]:
+    """The words of the lines, halves of words cut by a line's end as numbers, and for each line with words what its words and
+    pairs depend on: its text, the word that follows it (-1: none) and whether it begins with half a word. Lines are coded once
+    into kept."""
+    coded: list[int] = []
+    keys: list[Key] = []
     cut_off = False
+    last: tuple[str, bool] | None = None
     for line in lines:
-        chunks = line.split()
-        if chunks:
-            own = coded_chunks(chunks)
-            if cut_off:
-                own[0] = "#"
-            if cut_off := len(chunks[-1]) > 1 and chunks[-1][-1] in BREAKS:
-                own[-1] = "#"  # half a word
+        got = kept.get(line)
+        if got is None:
+            chunks = line.split()
+            own = list(map(number.__getitem__, chunks))
+            halved = bool(chunks) and len(chunks[-1]) > 1 and chunks[-1][-1] in BREAKS
+            if halved:
+                own[-1] = 0
+            got = kept[line] = own, halved
+        own, halved = got
+        if own:
+            at = len(coded)
             coded += own
-    return coded
+            if cut_off:
+                coded[at] = 0
+            if last is not None:
+                keys.append((last[0], coded[at], last[1]))
+            last, cut_off = (line, cut_off), halved
+    if last is not None:
+        keys.append((last[0], -1, last[1]))
+    return coded, keys
 
 
 def edges(lines: list[str]) -> tuple[list[int], list[int]]:
-    """Numbers of the first and of the last lines that are not blank."""
-    full = written(lines)
-    return full[:EDGE], full[-EDGE:]
+    """Numbers of the first and of the last lines that are neither blank nor a comment."""
+    return list(islice(_written(lines, range(len(lines))), EDGE)), list(islice(_written(lines, range(len(lines) - 1, -1, -1)), EDGE))[::-1]
+
+
+def _written(lines: list[str], order: Iterable[int]) -> Iterator[int]:
+    for i in order:
+        line = lines[i]
+        if line and not line.isspace() and not (line.lstrip()[:4] == "<!--" and _COMMENT.match(line)):
+            yield i
 
 
 def written(lines: list[str]) -> list[int]:
@@ -173,44 +213,126 @@ def edge_shapes(lines: list[str]) -> Counter:
 # --- statistics -----------------------------------------------------------------------------------------------------------
 
 
+#: Words of pages that are counted at once.
+COUNTED_WORDS = 2_000_000
+
+
+class _Counts:
+    """Counts of the words and of the pairs of neighbours, by word numbers; -1 parts what are no neighbours."""
+
+    def __init__(self) -> None:
+        self.flat: list[int] = []
+        # Of a page's two texts, the lines that only one has: what the second has more often than the first counts too.
+        self.sides: tuple[tuple[list[int], list[int]], tuple[list[int], list[int]]] = ([], []), ([], [])
+        self.page = 0
+        self.words: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, coded: list[int]) -> None:
+        self.flat += coded
+        self.flat.append(-1)
+
+    def differ(self, first: list[Key], second: list[Key], kept: dict[str, tuple[list[int], bool]]) -> None:
+        known, other = Counter(first), Counter(second)
+        self.page += 1
+        for (flat, pages), rest in zip(self.sides, (known - other, other - known)):
+            before = len(flat)
+            for (line, following, halved), n in rest.items():
+                own = kept[line][0]
+                for _ in range(n):
+                    at = len(flat)
+                    flat += own
+                    if halved:
+                        flat[at] = 0
+                    flat += (-2 - following, -1) if following >= 0 else (-1,)
+            pages += [self.page] * (len(flat) - before)
+
+    def __len__(self) -> int:
+        return len(self.flat) + sum(len(flat) for flat, _ in self.sides)
+
+    def count(self) -> None:
+        flat = np.array(self.flat, np.int64)
+        self.words.append(np.unique(flat[flat >= 0], return_counts=True))
+        self.pairs.append(np.unique(_pairs(flat)[0], return_counts=True))
+        found = []
+        for flat, pages in self.sides:
+            flat, page = np.array(flat, np.int64), np.array(pages, np.int64)
+            key, at = _pairs(flat)
+            # What follows a line, written as -2 - word, is part of a pair but not a word of the line.
+            found.append([(page[flat >= 0], flat[flat >= 0]), (page[:-1][at], key)])
+        for total, (page, one), (page_, two) in zip((self.words, self.pairs), *found):
+            known, more = (_by_page(p, k) for p, k in ((page, one), (page_, two)))
+            at = np.searchsorted(known[0], more[0])
+            same = at < len(known[0])
+            same[same] = known[0][at[same]] == more[0][same]
+            n = more[1].copy()
+            n[same] -= known[1][at[same]]
+            total.append((more[2][n > 0], n[n > 0]))
+        self.flat, self.sides, self.page = [], (([], []), ([], [])), 0
+
+
+def _pairs(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours as one number, and where they stand."""
+    word = np.where(flat < -1, -2 - flat, flat)
+    at = (flat[:-1] >= 0) & (word[1:] >= 0)
+    return (flat[:-1][at] << 32) | word[1:][at], at
+
+
+def _by_page(page: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each page's distinct keys in order (numbered by page and by key), their counts and the keys themselves."""
+    names, number = np.unique(key, return_inverse=True)
+    # Both sides must number alike, so keys are mixed with their page instead of ranked.
+    with np.errstate(over="ignore"):
+        mixed = (page.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (names.astype(np.uint64)[number] * np.uint64(0xC2B2AE3D27D4EB4F))
+    own, first, n = np.unique(mixed, return_index=True, return_counts=True)
+    return own, n, key[first]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, number = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(number, weights=np.concatenate([n for _, n in parts]), minlength=len(key)).astype(np.int64)
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
-    pairs: Counter = Counter()
+    number, counts = Coded(), _Counts()
     shapes: Counter = Counter()
 
     def flush() -> pa.RecordBatch:
-        rows = [("word", w, "", n) for w, n in words.items()]
-        rows += [("pair", a, b, n) for (a, b), n in pairs.items()]
-        rows += [("shape", s, "", n) for s, n in shapes.items()]
-        words.clear(), pairs.clear(), shapes.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
-        columns = list(zip(*rows)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["kind", "a", "b", "n"])
+        counts.count()
+        words = pa.array(number.words, pa.string())
+        word, n = _summed(counts.words)
+        pair, m = _summed(counts.pairs)
+        a = pa.concat_arrays([words.take(pa.array(word)), words.take(pa.array(pair >> 32)), pa.array(list(shapes), pa.string())])
+        b = pa.concat_arrays([pa.array([""] * len(word), pa.string()), words.take(pa.array(pair & 0xFFFFFFFF)), pa.array([""] * len(shapes), pa.string())])
+        kind = pa.array(["word"] * len(word) + ["pair"] * len(pair) + ["shape"] * len(shapes), pa.string())
+        every = pa.array(np.concatenate([n, m, np.array(list(shapes.values()), np.int64)]))
+        return pa.RecordBatch.from_arrays([kind, a, b, every], names=["kind", "a", "b", "n"])
 
     for batch in batches:
         for raw, marked in zip(*(batch.column(i).to_pylist() for i in (1, 2))):
             # Heads, words and pairs may stand in one of the two texts only; of what both have, the more counts.
-            first: list[str] | None = None
+            # The lines that both have, in the same surroundings, cancel out of that difference.
+            first: tuple[list[int], list[Key]] | None = None
+            kept: dict[str, tuple[list[int], bool]] = {}
             at_edge: Counter = Counter()
             for text in dict.fromkeys((raw, marked)):
                 if not text:
                     continue
                 lines = cleaned(text).split("\n")
                 at_edge |= edge_shapes(lines)
-                coded = coded_lines(lines[1:] if _COMMENT.match(lines[0]) else lines)
+                coded, keys = coded_lines(lines[1:] if _COMMENT.match(lines[0]) else lines, number, kept)
                 if first is None:
-                    first = coded
-                    words.update(coded)
-                    pairs.update(zip(coded, coded[1:]))
-                elif coded != first:
-                    for total, one, two in ((words, first, coded), (pairs, zip(first, first[1:]), zip(coded, coded[1:]))):
-                        known, other = Counter(one), Counter(two)
-                        for w, n in other.items() - known.items():
-                            if n > known[w]:
-                                total[w] += n - known[w]
+                    first = coded, keys
+                    counts.add(coded)
+                elif coded != first[0]:
+                    counts.differ(first[1], keys, kept)
             shapes.update(at_edge)
-            if len(words) + len(pairs) + len(shapes) > FLUSH:
+            if len(counts) > COUNTED_WORDS:
+                counts.count()
+            if len(number) + len(shapes) > FLUSH or sum(len(k) for k, _ in counts.pairs) > 20 * FLUSH:
                 yield flush()
+                number, counts = Coded(), _Counts()
+                shapes.clear()
     yield flush()
 
 
@@ -223,8 +345,11 @@ class _Shapes(dict):
         got = self[chunk] = shape(chunk).split()
         return got
 
-    def of(self, line: str, begins: set[tuple[str, str]]) -> str:
-        """The line's shape if it begins with two of these words."""
+    def of(self, line: str, begins: set[tuple[str, str]], first: set[str]) -> str:
+        """The line's shape if it begins with two of these words, the first of which are told too."""
+        chunks = line.split(None, 1)
+        if not chunks or (begun := self[chunks[0]]) and begun[0] not in first:
+            return ""
         out: list[str] = []
         for chunk in line.split(None, 4)[:4]:
             out += self[chunk]
@@ -241,17 +366,23 @@ def _standing(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: set[str] = told.value
         begins, known = {tuple(s.split(" ", 2)[:2]) for s in asked}, _Shapes()
+        begin = {first for first, _ in begins}
         counts: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for batch in batches:
             for page, raw, marked in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 later, on = (page or 0) > 1, 1 << (page or 0) % 60
                 one: Counter = Counter()
                 at_edge: Counter = Counter()
+                kept: dict[str, str] = {"": ""}
                 for text in dict.fromkeys((raw, marked)):
                     if not text:
                         continue
                     lines = cleaned(text).split("\n")
-                    found = [(i, s) for i, line in enumerate(lines) if line and (s := known.of(line, begins)) in asked and not _LISTED.match(unmarked(line))]
+                    for line in lines:
+                        if line not in kept:
+                            s = known.of(line, begins, begin)
+                            kept[line] = s if s in asked and not _LISTED.match(unmarked(line)) else ""
+                    found = [(i, s) for i, s in enumerate(map(kept.__getitem__, lines)) if s]
                     if found:
                         top, bottom = edges(lines)
                         near = {i for i in (*top, *bottom) if len(lines[i]) <= 160}
@@ -508,6 +639,14 @@ def is_head(line: str, model: Model, doc: str, rank: int) -> bool:
     return False
 
 
+def _is_head(line: str, model: Model, doc: str | None, rank: int, kept: Kept) -> bool:
+    key = line, doc, rank < 2
+    got = kept.heads.get(key)
+    if got is None:
+        got = kept.heads[key] = is_head(line, model, doc, rank)
+    return got
+
+
 def _word_like(word: str, model: Model) -> bool:
     return model.words.get(word, 0) > 0
 
@@ -619,8 +758,20 @@ _SYMBOL_IN_WORD = re.compile(r"[^\W\d_][•¦|~^*_�`\\]+[^\W\d_]|[^\W\d_]�|
 _NUMBER_MISREAD = re.compile(r"^(?=.*\d)(?=.*[lIOoSBZ])[\dlIOoSBZ]{2,6}$")
 
 
-def read_page(text: str, doc: str | None, numbers: set[int], model: Model, repair: bool = True) -> tuple[list[tuple[int, str]], str | None]:
+class Kept:
+    """What has been worked out for the lines of a page, whose two texts share most of them."""
+
+    def __init__(self) -> None:
+        self.heads: dict[tuple, bool] = {}
+        self.numbers: dict[str, tuple[list[str], list[int]]] = {}
+        self.decoded: dict[tuple, list[str]] = {}
+
+
+def read_page(
+    text: str, doc: str | None, numbers: set[int], model: Model, repair: bool = True, kept: Kept | None = None
+) -> tuple[list[tuple[int, str]], str | None]:
     """(line number, kind) of what is wrong with a page's text, and its paragraphs put right, if they are wanted."""
+    kept = kept or Kept()
     lines = cleaned(text).split("\n")
     found: list[tuple[int, str]] = []
     full = written(lines)
@@ -632,38 +783,44 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model, repai
                 continue
             if is_page_number(lines[i], numbers):
                 found.append((i + 1, "page_number"))
-            elif is_head(lines[i], model, doc if zone is top else "", rank):
+            elif _is_head(lines[i], model, doc if zone is top else "", rank, kept):
                 found.append((i + 1, "running_head"))
             else:
                 break
             printing.add(i)
     body = [i for i in full if i not in printing]
-    following = {i: lines[j] for i, j in zip(body, body[1:])}
     joined: dict[int, str] = {}
-    for i in body:
-        if lines[i].rstrip()[-1:] in BREAKS and (word := broken(lines[i], following.get(i, ""), model)):
+    for at, i in enumerate(body):
+        line = lines[i]
+        if (line[-1] in BREAKS or line[-1].isspace() and line.rstrip()[-1:] in BREAKS) and (word := broken(line, lines[body[at + 1]] if at + 1 < len(body) else "", model)):
             joined[i] = word
             found.append((i + 1, "broken_word"))
     paragraphs: list[list[str]] = []
     carried: str | None = None
     last = -2
-    split = {i: lines[i].split() for i in body}
     number = model.chunk_numbers.__getitem__
+    split: dict[int, list[str]] = {}
+    numbered: dict[int, list[int]] = {}
+    for i in body:
+        got = kept.numbers.get(lines[i])
+        if got is None:
+            chunks = lines[i].split()
+            got = kept.numbers[lines[i]] = chunks, list(map(number, chunks))
+        split[i], numbered[i] = got
     flat: list[int] = []
     start: dict[int, int] = {}
     halved: set[int] = set()  # lines that begin with the second half of a word, maybe of the page before
-    if body and split[body[0]][0][:1].islower() and number(split[body[0]][0]) < 0:
+    if body and split[body[0]][0][:1].islower() and numbered[body[0]][0] < 0:
         halved.add(body[0])
     for at, i in enumerate(body):
-        own = list(map(number, split[i]))
         start[i] = len(flat)
+        flat += numbered[i]
         if at and body[at - 1] in joined:
             halved.add(i)
         if i in halved:
-            own[0] = 0
+            flat[start[i]] = 0
         if i in joined:
-            own[-1] = 0
-        flat += own
+            flat[-1] = 0
 
     def words_of(i: int) -> list[str]:
         own = coded_chunks(split[i])
@@ -673,6 +830,12 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model, repai
             own[-1] = "#"
         return own
 
+    def word_at(i: int, end: int) -> str:
+        """The first (0) or the last (-1) word of a line."""
+        if i in (joined if end else halved) or len(split[i]) == 1 and (i in joined or i in halved):
+            return "#"
+        return coded_chunks(split[i][end : end + 1 or None])[0]
+
     suspects_of: dict[int, list[int]] = {}
     place: dict[int, int] = {}
     at = 0
@@ -681,17 +844,20 @@ def read_page(text: str, doc: str | None, numbers: set[int], model: Model, repai
             at += 1
         suspects_of.setdefault(body[at], []).append(k)
         place[body[at]] = at
-    for i in body:
+    for i in body if repair else suspects_of:
         chunks, suspects = split[i], [k - start[i] for k in suspects_of.get(i, ())]
         own = decoded = words_of(i) if suspects else []
         suspects = [k for k in suspects if len(own[k]) > 1]
         if suspects:
-            before = words_of(body[place[i] - 1])[-1:] if place[i] else []
-            after = words_of(body[place[i] + 1])[:1] if place[i] + 1 < len(body) else []
+            before = [word_at(body[place[i] - 1], -1)] if place[i] else []
+            after = [word_at(body[place[i] + 1], 0)] if place[i] + 1 < len(body) else []
             ahead = len(before)
             line = [*before, *own, *after]
-            decoded = decode(line, {k + ahead for k in suspects}, model)
-            decoded = own if decoded is line else [d if k in suspects else own[k] for k, d in enumerate(decoded[ahead : ahead + len(own)])]
+            asked = (lines[i], i in halved, i in joined, *before, None, *after, None, *suspects)
+            decoded = kept.decoded.get(asked)
+            if decoded is None:
+                decoded = kept.decoded[asked] = decode(line, {k + ahead for k in suspects}, model)
+            decoded = own if decoded is line or decoded == line else [d if k in suspects else own[k] for k, d in enumerate(decoded[ahead : ahead + len(own)])]
         misread, out = False, chunks
         if decoded is not own and not repair:
             misread = decoded != own
@@ -762,10 +928,10 @@ def _read(told, repair: bool):
         for batch in batches:
             columns: list[list] = [[] for _ in range(7)]
             for doc, part, page, whole, raw, marked in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                numbers = {n for n in (page, whole) if n is not None}
+                numbers, kept = {n for n in (page, whole) if n is not None}, Kept()
                 for name, text in zip(FIELDS, (raw, marked)):
                     if text:
-                        found, repaired = read_page(text, doc, numbers, model, repair)
+                        found, repaired = read_page(text, doc, numbers, model, repair, kept)
                         row = (doc, part, page, name, [n for n, _ in found], [k for _, k in found], repaired)
                         for column, value in zip(columns, row):
                             column.append(value)

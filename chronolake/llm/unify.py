@@ -112,6 +112,15 @@ def mixed(text: str) -> set[str]:
     return {m[0] for chunk in chunks for m in _TOKEN.finditer(chunk) if _SUSPECT.search(m[0])}
 
 
+def exchanged(text: str, usual: dict[str, str]) -> str:
+    """The text with these whole tokens exchanged; only lines that may hold one are gone through."""
+    lines = text.split("\n")
+    for i, line in enumerate(lines):
+        if _SUSPECT.search(line):
+            lines[i] = _TOKEN.sub(lambda m: usual.get(m[0], m[0]), line)
+    return "\n".join(lines)
+
+
 _SURVEY = "tag string, source_table string, row_key string, a string, b string, rank int"
 
 
@@ -194,7 +203,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = {r["token"]: r["repaired"] for r in repairs or ()}
                 texts[i] = plain(texts[i])
                 if own:
-                    texts[i] = _TOKEN.sub(lambda m: own.get(m[0], m[0]), texts[i])  # noqa: B023
+                    texts[i] = exchanged(texts[i], own)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["source_table", "row_key", "text"]
         )

@@ -82,6 +82,21 @@ def test_plans_hold_every_item_once(histogram):
     assert plan.containers <= 11 / 9 * -(-total // 64) + 2 or max(histogram, default=0) > 32
 
 
+@pytest.mark.parametrize("seed, times", [(1, 1), (2, 1), (3, 10), (4, 1000)])
+def test_combinations_need_no_more_containers_than_greedy_packing_alone(seed, times):
+    sizes = np.clip(np.random.default_rng(seed).lognormal(6.5, 1.0, 5000), 1, 4096).astype(int)
+    values, counts = np.unique(sizes, return_counts=True)
+    histogram = dict(zip(values.tolist(), (counts * times).tolist()))
+    plan = packing.make_plan(histogram)
+    assert plan.containers <= packing.make_plan(histogram, depth=0).containers
+    held: dict[int, int] = {}
+    for own, n, _ in plan.runs:
+        for size in own:
+            held[size] = held.get(size, 0) + n
+    assert held == histogram
+    assert sum(n for own, n, _ in plan.runs if sum(own) == 4096 and 1 < len(own) < 4) > 0.1 * plan.containers
+
+
 def test_containers(spark):
     r = random.Random(3)
     sizes = [(i, r.choice([0, 1, 5, 30, 30, 30, 63, 64, 65, 200])) for i in range(500)] + [(900, None)]
@@ -360,12 +375,12 @@ SENTENCES = [
 def test_mentions():
     model = personal.train(SENTENCES * 30)
     text = "Ký tên\nĐẶNG GIA THỤY. Bị đơn bà Đặng Gia Thụy, căn cước 035193321835, email a.b+c@x.example, ĐT O478136710, lô hàng 123456789, phố Trần Hạ Lam."
-    got = {(text[s:e], k) for s, e, k in personal.mentions(text, model)}
+    got = {(text[s:e], k) for s, e, k in personal.mentions([text], model)[0]}
     assert got == {("ĐẶNG GIA THỤY", "name"), ("Đặng Gia Thụy", "name"), ("035193321835", "identity"), ("a.b+c@x.example", "email"), ("O478136710", "phone")}
-    assert personal.redact(text, personal.mentions(text, model)).startswith("Ký tên\n[NAME]. Bị đơn bà [NAME], căn cước [IDENTITY]")
+    assert personal.redact(text, personal.mentions([text], model)[0]).startswith("Ký tên\n[NAME]. Bị đơn bà [NAME], căn cước [IDENTITY]")
     odd = "Gọi từ​ số 0502 202 547"
-    assert [(odd[s:e], k) for s, e, k in personal.mentions(odd, model)] == [("0502 202 547", "phone")]
-    assert personal.mentions(None, model) == personal.mentions("", model) == personal.mentions(" \n", model) == []
+    assert [(odd[s:e], k) for s, e, k in personal.mentions([odd], model)[0]] == [("0502 202 547", "phone")]
+    assert personal.mentions([None, "", " \n"], model) == [[], [], []]
 
 
 def test_mentions_of_rows(spark):
@@ -389,13 +404,46 @@ def test_names_outside_the_training_sample_are_proposed(spark):
     assert {"khuê", "mẫn"} <= twice.given and twice.given == personal.learn_names(usual + rare).given
 
 
+def test_names_of_no_list_are_found():
+    """Family or given names that neither the list nor the sample knows: behind a title, repeated, or behind a known family name."""
+    model = personal.train(SENTENCES * 30)
+    for text, name in (
+        ("Hôm qua ông Ninh Khắc Tùng đã ký. Về sau Ninh Khắc Tùng rời đi.", "Ninh Khắc Tùng"),
+        ("Nguyễn Khắc Tùng, sinh năm 1980, đã khai.", "Nguyễn Khắc Tùng"),
+    ):
+        found = [(s, text[s:e]) for s, e, k in personal.mentions([text], model)[0] if k == "name"]
+        assert found == [(m.start(), name) for m in re.finditer(name, text)]
+
+
+def _two_way_model(**weights):
+    index = {f: i for i, f in enumerate(weights)}
+    rows = np.zeros((len(index), 6))
+    for f, w in weights.items():
+        rows[index[f], [0, 5]] = w
+    return {f"person|{f}" if f != "bias" else "person|": i for f, i in index.items()}, rows
+
+
 def test_messages_make_repeats_agree():
-    model = personal.Model(personal.Names(set(personal.FAMILIES), {"gia"}), {"person|": np.zeros(6), "person|a": np.array([0, 0, 0, 0, 0, 3.0]), "person|b": np.array([0.5, 0, 0, 0, 0, 0])}, np.zeros((6, 6)), 2.5, 0.0)
+    index, weights = _two_way_model(bias=(0, 0), a=(0, 3.0), b=(0.5, 0))
+    model = personal.Model(personal.Names(set(personal.FAMILIES), {"gia"}), index, weights, np.zeros((6, 6)), 2.5, 0.0)
     a = personal.Candidate("person", 0, 5, ["a"], same="x", alike="x")
     b = personal.Candidate("person", 900, 905, ["b"], same="x", alike="x")
-    assert model.label([a, b]) == [5, 5]
+    assert model.label([[a, b], [], [b]]) == [[5, 5], [], [0]]
+    assert model.label([[a, b]], skip=False) == [[5, 0]]
     b.same = b.alike = "y"
-    assert model.label([a, b]) == [5, 0]
+    assert model.label([[a, b]]) == [[5, 0]]
+
+
+def test_messages_are_exact_on_a_chain():
+    rng = np.random.default_rng(5)
+    nodes, potentials = rng.normal(size=(3, 6)), rng.normal(size=(3, 6, 6))
+    kind = np.array([1, 0])
+    belief, pairs = personal.pass_messages(nodes, np.array([0, 1]), np.array([1, 2]), kind, potentials, 60)
+    whole = np.exp(nodes[0][:, None, None] + nodes[1][None, :, None] + nodes[2][None, None, :] + potentials[1][:, :, None] + potentials[0][None, :, :])
+    whole /= whole.sum()
+    share = np.exp(belief - belief.max(axis=1, keepdims=True))
+    assert np.allclose(share[1] / share[1].sum(), whole.sum(axis=(0, 2)), atol=1e-3)
+    assert np.allclose(pairs[1], whole.sum(axis=2), atol=1e-3) and np.allclose(pairs[0], whole.sum(axis=0), atol=1e-3)
 
 
 def test_every_query_has_a_schema(spark, folder):

@@ -2,9 +2,11 @@
 
 Only the histogram of the sizes, which has no more bins than the capacity, ever reaches the driver. There it is planned:
 
-1. Sizes are put into classes of equal width. Shallow combinations (up to `depth` classes) that fill the window just below the
-   capacity are the columns of a non-negative least-squares problem whose unknowns are how often each is repeated and whose right
-   side is the histogram; the solution is rounded down and laid out.
+1. Sizes are put into classes of equal width. Shallow combinations (2 to `depth` classes) whose middles fill the window around
+   the capacity are the columns of a non-negative least-squares problem whose unknowns are how often each is repeated and whose
+   right side is the histogram; the solution is rounded down and laid out with the largest sizes of the classes, the last of which is the
+   one that leaves no room at all. Items so small that they fit nearly everywhere take no part: they are kept to fill what room
+   is left.
 2. What is left over, and the room left in the combinations' containers, is packed greedily, largest first into the fullest
    container that still takes it, whole runs of equal containers at a time, so the work does not grow with the rows.
 
@@ -32,8 +34,10 @@ from chronolake.llm import bpe
 from chronolake.session import cut
 
 CAPACITY = 4096
-CLASSES = 128
+CLASSES = 64
 DEPTH = 3
+#: Items below this share of the capacity are kept for filling.
+SMALL = 1 / 16
 #: Rows of one size that are ranked within one task.
 BUCKET_ROWS = 100_000
 
@@ -69,24 +73,25 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int | None = None) -> np.ndarray:
     return x
 
 
-def combinations(present: list[int], full: int, window: int, depth: int) -> list[tuple[int, ...]]:
-    """Multisets of up to depth classes whose upper bounds sum to full - window .. full."""
+def combinations(present: list[int], full: int, depth: int) -> list[tuple[int, ...]]:
+    """Multisets of 2 to depth classes, largest first, whose items' middles (a half below the class number) sum to the capacity
+    within half a class."""
     found: list[tuple[int, ...]] = []
 
-    def grow(at: int, chosen: tuple[int, ...], room: int) -> None:
-        if chosen and room <= window:
+    def grow(at: int, chosen: tuple[int, ...], room: float) -> None:
+        if len(chosen) > 1 and abs(room) <= 0.5:
             found.append(chosen)
         if len(chosen) == depth:
             return
         left = depth - len(chosen)
         for i in range(at, -1, -1):
             c = present[i]
-            if c * left < room - window:
+            if (c - 0.5) * left < room - 0.5:
                 break  # even the most repeats of this and smaller ones stay below the window
-            if c <= room:
-                grow(i, (*chosen, c), room - c)
+            if c - 0.5 <= room + 0.5:
+                grow(i, (*chosen, c), room - (c - 0.5))
 
-    grow(len(present) - 1, (), full)
+    grow(len(present) - 1, (), float(full))
     return found
 
 
@@ -130,40 +135,59 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int
         opened[room].append([sizes, n])
 
     width = max(1, -(-capacity // classes))
-    upper = lambda size: -(-size // width)
-    full = capacity // width
-    target = np.zeros(full + 2)
+    full = -(-capacity // width)
+    least = max(1, int(capacity * SMALL))
+    target = np.zeros(full + 1)
     for size in np.flatnonzero(left):
-        if size:
-            target[min(upper(int(size)), full + 1)] += left[size]
-    present = [c for c in range(1, full + 1) if target[c]]
-    columns = combinations(present, full, 1, depth)
+        if size >= least:
+            target[-(-int(size) // width)] += left[size]
+    columns = combinations([c for c in range(1, full + 1) if target[c]], full, depth)
     if columns:
-        a = np.zeros((full + 2, len(columns)))
+        a = np.zeros((full + 1, len(columns)))
         for j, combination in enumerate(columns):
             for c in combination:
                 a[c, j] += 1
         # Missing a large item costs more room than missing a small one.
-        weight = np.sqrt(np.arange(full + 2) / full)[:, None]
+        weight = np.sqrt(np.arange(full + 1) / full)[:, None]
         total = max(1.0, target.sum())
         repeats = np.floor(nnls(a * weight, target / total * weight[:, 0]) * total + 1e-6).astype(np.int64)
-        members = {c: [s for s in range(c * width, (c - 1) * width, -1) if s <= capacity] for c in present}
+
+        def pair(c: int, room: int, taken: dict[int, int]) -> tuple[int, int] | None:
+            """The largest size of class c, and the size that fills the room beside it to the last token."""
+            first = np.arange(min(c * width, room - least), max(least, (c - 1) * width + 1) - 1, -1)
+            if len(first):
+                free = left.copy()
+                for size, n in taken.items():
+                    free[size] -= n
+                rest = room - first
+                good = (free[first] > 0) & (rest <= capacity) & (free[np.minimum(rest, capacity)] > (rest == first))
+                if good.any():
+                    size = int(first[np.argmax(good)])
+                    return size, room - size
+            return None
+
+        def chosen(combination: tuple[int, ...]) -> dict[int, int] | None:
+            """How many of which sizes make one container of these classes, if there are such sizes left."""
+            taken: dict[int, int] = {}
+            room = capacity
+            for c in combination[:-2]:
+                bottom = max(least, (c - 1) * width + 1)
+                free = [s for s in (np.flatnonzero(left[bottom : min(c * width, room) + 1]) + bottom).tolist() if left[s] > taken.get(s, 0)]
+                if not free:
+                    return None
+                taken[free[-1]] = taken.get(free[-1], 0) + 1
+                room -= free[-1]
+            two = pair(combination[-2], room, taken)
+            for size in two or ():
+                taken[size] = taken.get(size, 0) + 1
+            return taken if two else None
+
         for combination, wanted in sorted(zip(columns, repeats.tolist()), key=lambda p: (-p[1], p[0])):
-            while wanted > 0:
-                sizes: list[int] = []
-                taken: dict[int, int] = {}
-                for c in combination:
-                    size = next((s for s in members[c] if left[s] > taken.get(s, 0)), None)
-                    if size is None:
-                        break
-                    sizes.append(size)
-                    taken[size] = taken.get(size, 0) + 1
-                if len(sizes) < len(combination):
-                    break
+            while wanted > 0 and (taken := chosen(combination)):
                 n = min(wanted, *(int(left[s]) // k for s, k in taken.items()))
                 for s, k in taken.items():
                     left[s] -= n * k
-                put(capacity - sum(sizes), tuple(sizes), n)
+                put(0, tuple(size for size, k in taken.items() for _ in range(k)), n)
                 wanted -= n
     for size in range(capacity, 0, -1):
         n = int(left[size])
@@ -193,10 +217,10 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int
     return plan
 
 
-def _place(slots: np.ndarray):
-    keys = (slots[:, 0] << 44) | slots[:, 1]
-
+def _place(told):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = told.value
+        keys = (slots[:, 0] << 44) | slots[:, 1]
         for batch in batches:
             size = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
             rank = batch.column(4).to_numpy(zero_copy_only=False)
@@ -231,7 +255,9 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, dep
     within = Window.partitionBy("n_tokens", "bucket").orderBy(F.col("id").asc_nulls_last(), "piece_no")
     ranked = placed.withColumn("at", F.row_number().over(within) - 1).join(offsets, ["n_tokens", "bucket"])
     ranked = ranked.select("id", "piece_no", "token_start", "n_tokens", (F.col("at") + F.col("earlier")).alias("rank"))
-    out = ranked.mapInArrow(_place(plan.slots()), "id long, piece_no int, token_start long, n_tokens int, container_id long, container_offset int")
+    # The plan's size is bounded by the capacity: a few runs a size and combination.
+    told = sized.sparkSession.sparkContext.broadcast(plan.slots())
+    out = ranked.mapInArrow(_place(told), "id long, piece_no int, token_start long, n_tokens int, container_id long, container_offset int")
     none = sized.filter("size = 0 or size is null").select(
         "id", F.lit(1).alias("piece_no"), F.lit(0).cast("long").alias("token_start"), F.lit(0).alias("n_tokens"),
         F.lit(None).cast("long").alias("container_id"), F.lit(None).cast("int").alias("container_offset"),

@@ -8,7 +8,10 @@ threshold demands leaves at most |x| - o shingles of x out of y; each of them sp
 * Index: each set offers its segments' subsets with their one-deletion neighbourhoods, taken again until one shingle is left, so
   whatever part of a segment another set holds can be looked up.
 * Allocation: each set looks up only the |x| - o + 1 of its segments that cost least, by counts of all index entries in a table
-  of fixed size. It looks in the band of its own size and the next, which hold all sizes that can reach the threshold.
+  that grows with the entries up to a bound. It looks in the band of its own size and the next, which hold all sizes that can
+  reach the threshold.
+* Signatures meet in parts, which are ranges of their hash within source and band, so that a set's entries go to few parts. A
+  part gets each set's parities once and, per entry, three bytes; sets are named by five bytes within their batch.
 * Entries of too common signatures are salted: the index rows are dealt out, the look-ups sent to every share.
 * A match first passes an exact bound: the parities of many segments differ in no more places than the sets differ in shingles.
 * Every remaining pair is then verified by the shingle sets themselves.
@@ -40,13 +43,13 @@ SHINGLE = 3
 LOAD = 0.8
 #: Size bands: the smallest size and the ratio (1 / threshold at least, so that two bands hold all partners).
 FIRST_BAND = 40
-#: Entries of the table of index counts (4 bytes each), whatever the size of the collection.
-COUNTERS = 1 << 20
+#: Entries of the table of index counts (4 bytes each): one for so many index entries, within these bounds.
+COUNTERS, MOST_COUNTERS, ENTRIES_OF_COUNTER = 1 << 20, 1 << 23, 32
 CHUNKS = 64
 #: Index entries of one signature in one share.
 SHARE = 20_000
 #: Index entries that a task of the look-up takes.
-TASK_ENTRIES = 6_000_000
+TASK_ENTRIES = 8_000_000
 #: Pairs looked at in one block, which bounds a task's memory whatever the skew.
 BLOCK_PAIRS = 1_000_000
 #: Candidate ids up to which the sets are picked by a broadcast instead of an exchange (8 bytes each).
@@ -144,8 +147,8 @@ class Bands:
         self.starts = np.array(starts, np.int64)
         middle = np.sqrt(np.maximum(self.starts[:-1], 8.0) * self.starts[1:])
         self.segments = np.maximum(1, np.round(middle / load)).astype(np.uint64)
-        # A power of two of 64-bit words for each band, so that longer bits can be folded.
-        self.words = np.maximum(2, 2 ** np.ceil(np.log2(1.5 * self.starts[1:] / 64))).astype(np.int64)
+        # Three 64-bit words times a power of two for each band, so that longer bits can be folded.
+        self.words = 3 * np.maximum(1, 2 ** np.ceil(np.log2(1.2 * self.starts[1:] / 192))).astype(np.int64)
 
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, side="right") - 1
@@ -156,7 +159,7 @@ class Sets:
 
     def __init__(self, batch: pa.RecordBatch):
         self.source = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
-        self.doc = batch.column(1).to_numpy(zero_copy_only=False)
+        self.no = batch.column(1).to_numpy(zero_copy_only=False)
         raw = batch.column(2).to_pylist()
         self.n = np.array([len(r) // BYTES for r in raw], np.int64)
         self.shingles = unpacked(b"".join(raw))
@@ -179,8 +182,8 @@ class Sets:
     def salt(self, band: np.ndarray) -> np.ndarray:
         return mix(self.source * _A + band.astype(np.uint64) * _C + _B)
 
-    def index(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of every subset of every segment, and their rows."""
+    def index(self, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of every subset of every segment, their rows and bands."""
         band = bands.of(self.n)
         value, first, length, row = self.runs(bands, band)
         signatures, rows = [], []
@@ -195,13 +198,13 @@ class Sets:
                 signatures.append(subset)
                 rows.append(who)
         if not signatures:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         rows = np.concatenate(rows)
-        return mix(np.concatenate(signatures) ^ self.salt(band)[rows]), rows
+        return mix(np.concatenate(signatures) ^ self.salt(band)[rows]), rows, band[rows]
 
-    def lookups(self, bands: Bands, counts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    def lookups(self, bands: Bands, counts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Signatures of each set's cheapest segments, as many as the pigeonhole needs, in its band and the next."""
-        signatures, rows = [], []
+        signatures, rows, of = [], [], []
         own = bands.of(self.n)
         for step in (0, 1):
             band = own + step
@@ -219,6 +222,7 @@ class Sets:
             chosen = rank <= spare[row]
             signatures.append(whole[chosen])
             rows.append(row[chosen])
+            of.append(band[row[chosen]])
             found = np.bincount(row, minlength=len(self.n))
             few = asking & (found <= spare)
             if few.any():  # fewer segments than the pigeonhole needs: any shingle in common will do
@@ -226,9 +230,10 @@ class Sets:
                 who = self.row[keep]
                 signatures.append(mix(mix(self.shingles[keep] + _B) ^ self.salt(band)[who]))
                 rows.append(who)
+                of.append(band[who])
         if not signatures:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.concatenate(signatures), np.concatenate(rows)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(signatures), np.concatenate(rows), np.concatenate(of)
 
     def parities(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         """All sets' bits in 64-bit words, and each set's number of words: the parity of its shingles in each segment of the
@@ -257,30 +262,63 @@ def apart(flat: np.ndarray, start: np.ndarray, words: np.ndarray, x: np.ndarray,
 
 
 def _count(t: Fraction, load: float, counters: int):
+    """The table in chunks; chunk -1 - group has the entries of a group, which is source * GROUPS + band."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, counts, any_row = Bands(t, load), np.zeros(counters, np.int64), False
+        bands, counts, groups = Bands(t, load), np.zeros(counters, np.int64), np.zeros(0, np.int64)
         for batch in _batches(batches):
             if batch.num_rows:
-                signatures, _ = Sets(batch).index(bands)
+                sets = Sets(batch)
+                signatures, row, band = sets.index(bands)
                 counts += np.bincount((signatures & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
-                any_row = True
-        parts = counts.reshape(CHUNKS, -1) if any_row else np.zeros((0, 1))
+                own = np.bincount(sets.source[row].astype(np.int64) * GROUPS + band)
+                groups = np.pad(groups, (0, max(0, len(own) - len(groups))))
+                groups[: len(own)] += own
+        parts = counts.reshape(CHUNKS, -1) if len(groups) else np.zeros((0, 1))
+        found = np.flatnonzero(groups)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<u4").tobytes() for p in parts], pa.binary())],
+            [
+                pa.array([*range(len(parts)), *(-1 - found).tolist()], pa.int32()),
+                pa.array([*(p.astype("<u8" if p.max() >> 32 else "<u4").tobytes() for p in parts), *(groups[g : g + 1].astype("<u8").tobytes() for g in found)], pa.binary()),
+            ],
             names=["chunk", "counts"],
         )
 
     return run
 
 
-def _add(batches):
+def _add(width: int):
     import pandas as pd
 
     def total(frame: pd.DataFrame) -> pd.DataFrame:
-        summed = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in frame["counts"])
-        return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "counts": [np.minimum(summed, 2**32 - 1).astype("<u4").tobytes()]})
+        chunk = frame["chunk"].iloc[0]
+        n = 1 if chunk < 0 else width
+        summed = sum(np.frombuffer(c, "<u4" if len(c) == 4 * n else "<u8").astype(np.int64) for c in frame["counts"])
+        return pd.DataFrame({"chunk": [chunk], "counts": [(summed.astype("<u8") if chunk < 0 else np.minimum(summed, 2**32 - 1).astype("<u4")).tobytes()]})
+
+    return total
+
+
+#: More than there are size bands.
+GROUPS = 64
+
+
+class Parts:
+    """Which part an entry goes to: each group has its share of the range of parts, and within it the hash decides."""
 
-    return total(batches)
+    def __init__(self, entries: dict[int, int], parts: int):
+        names = sorted(entries)
+        self.parts, whole = parts, max(1, sum(entries.values()))
+        self.start, self.width = (np.zeros(max(names, default=0) + 2 + GROUPS) for _ in range(2))
+        done = 0
+        for g in names:
+            self.start[g], self.width[g] = done / whole, entries[g] / whole
+            done += entries[g]
+
+    def of(self, source: np.ndarray, band: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        group = np.minimum(source.astype(np.int64) * GROUPS + band, len(self.start) - 1)
+        within = (spot >> np.uint64(32)).astype(np.float64) / 2.0**32
+        return np.minimum(((self.start[group] + within * self.width[group]) * self.parts).astype(np.int64), self.parts - 1)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,56 +327,60 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, BATCH_SETS)
 
 
-def _emit(t: Fraction, load: float, counts, parts: int, share: int):
+def _emit(t: Fraction, load: float, told, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, table = Bands(t, load), counts.value
+        bands, (table, parts) = Bands(t, load), told.value
         buckets = np.uint64(len(table) - 1)
         for batch in _batches(batches):
             sets = Sets(batch)
             parity, words = sets.parities(bands)
             parity_start = np.cumsum(words) - words
-            index, index_row = sets.index(bands)
-            ask, ask_row = sets.lookups(bands, table, t)
+            index, index_row, index_band = sets.index(bands)
+            ask, ask_row, ask_band = sets.lookups(bands, table, t)
             shares = np.maximum(1, -(-table[index & buckets].astype(np.int64) // share)).astype(np.uint64)
-            index_salt = mix(sets.doc[index_row].view(np.uint64) + _A) % shares
+            index_salt = mix(sets.no[index_row].view(np.uint64) + _A) % shares
             shares = np.maximum(1, -(-table[ask & buckets].astype(np.int64) // share))
-            ask, ask_row = np.repeat(ask, shares), np.repeat(ask_row, shares)
+            ask, ask_row, ask_band = (np.repeat(a, shares) for a in (ask, ask_row, ask_band))
             ask_salt = (np.arange(len(ask)) - np.repeat(np.cumsum(shares) - shares, shares)).astype(np.uint64)
             row = np.concatenate([index_row, ask_row])
             asks = np.r_[np.zeros(len(index), np.int64), np.ones(len(ask), np.int64)]
             spot = mix(np.concatenate([index, ask]) + np.concatenate([index_salt, ask_salt]) * _A)
-            part = ((spot >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            part = parts.of(sets.source[row], np.concatenate([index_band, ask_band]), spot)
             order = np.lexsort((asks, row, part))
             spot, part, row, asks = spot[order], part[order], row[order], asks[order]
             short = spot.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
-            group = part * len(sets.n) + row
-            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            indexed = np.add.reduceat(1 - asks, first)
-            asked = np.add.reduceat(asks, first)
-            # One row for all that this batch has to say in a part.
+            # Runs of a set's index entries and of its look-ups in a part, cut where a head can count no further.
+            group = (part * len(sets.n) + row) * 2 + asks
+            new = np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
+            since = np.arange(len(group)) - np.maximum.accumulate(np.where(new, np.arange(len(group)), 0))
+            first = np.flatnonzero(since % MOST == 0)
             heads = np.zeros(len(first), _HEAD)
-            who = row[first]
-            heads["source"], heads["doc"], heads["n"] = sets.source[who], sets.doc[who], sets.n[who]
-            heads["indexed"], heads["asked"] = indexed, asked
-            own = part[first]
+            who, own = row[first], part[first]
+            heads["row"], heads["n"] = who, np.minimum(sets.n[who], 0xFFFF)
+            heads["many"] = np.diff(np.r_[first, len(group)]) | asks[first] << 7
+            fresh = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (who[1:] != who[:-1])]) if len(who) else np.zeros(0, np.int64)
             numbers = np.unique(own)
-            head_from, head_to = np.searchsorted(own, numbers, "left"), np.searchsorted(own, numbers, "right")
-            from_, to = np.searchsorted(part, numbers, "left"), np.searchsorted(part, numbers, "right")
+            bounds = [(np.searchsorted(a, numbers, "left").tolist(), np.searchsorted(a, numbers, "right").tolist()) for a in (own, own[fresh], part)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(numbers.astype(np.int32)),
-                    pa.array([heads[a:b].tobytes() for a, b in zip(head_from, head_to)], pa.binary()),
-                    pa.array([_gather(parity, parity_start, words, who[a:b]).tobytes() for a, b in zip(head_from, head_to)], pa.binary()),
-                    pa.array([short[a:b].tobytes() for a, b in zip(from_, to)], pa.binary()),
+                    pa.array([int(sets.no[0]) if len(sets.no) else 0] * len(numbers), pa.int64()),
+                    pa.array([heads[a:b].tobytes() for a, b in zip(*bounds[0])], pa.binary()),
+                    # Sizes that a head cannot hold, and all parities, once for each set.
+                    pa.array([(n := sets.n[who[fresh[a:b]]])[n >= 0xFFFF].astype("<u4").tobytes() for a, b in zip(*bounds[1])], pa.binary()),
+                    pa.array([_gather(parity, parity_start, words, who[fresh[a:b]]).tobytes() for a, b in zip(*bounds[1])], pa.binary()),
+                    pa.array([short[a:b].tobytes() for a, b in zip(*bounds[2])], pa.binary()),
                 ],
-                names=["part", "heads", "parities", "signatures"],
+                names=["part", "base", "heads", "large", "parities", "signatures"],
             )
 
     return run
 
 
-_HEAD = np.dtype([("source", "u1"), ("doc", "<i8"), ("n", "<i4"), ("indexed", "<u4"), ("asked", "<u4")])
-_EMITTED = "part int, heads binary, parities binary, signatures binary"
+#: Of a set in a part: its row in the batch, its size, and how many entries follow (127 at most; the high bit marks look-ups).
+_HEAD = np.dtype([("row", "<u2"), ("n", "<u2"), ("many", "u1")])
+MOST = 127
+_EMITTED = "part int, base long, heads binary, large binary, parities binary, signatures binary"
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -349,36 +391,39 @@ def _gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, rows: np.n
 
 def _match(t: Fraction, load: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, parts, bits, signatures = [], [], [], []
+        numbers, sizes, parts, bits, rows, asking, signatures, sets = [], [], [], [], [], [], [], 0
         for batch in batches:
-            for part, head, parity, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                bits.append(np.frombuffer(parity, "<u8"))
+            for part, base, head, large, parity, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 own = np.frombuffer(head, _HEAD)
-                heads.append(own)
-                parts.append(np.full(len(own), part, np.int64))
+                fresh = np.r_[True, own["row"][1:] != own["row"][:-1]]
+                many = (own["many"] & MOST).astype(np.int64)
+                rows.append((np.repeat(np.cumsum(fresh) - 1, many) + sets).astype(np.int32))
+                asking.append(np.repeat(own["many"] > MOST, many))
+                first = own[fresh]
+                n = first["n"].astype(np.int32)
+                n[n == 0xFFFF] = np.frombuffer(large, "<u4")
+                numbers.append(base + first["row"].astype(np.int64))
+                sizes.append(n)
+                parts.append(np.full(len(raw) // SHORT, part, np.int32))
+                bits.append(np.frombuffer(parity, "<u8"))
                 wide = np.zeros((len(raw) // SHORT, 4), np.uint8)
                 wide[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
                 signatures.append(wide.view("<u4").ravel())
-        if not heads:
+                sets += len(first)
+        if not sets:
             return
-        head, part, flat, parity = (np.concatenate(a) for a in (heads, parts, signatures, bits))
-        del heads, parts, signatures, bits
-        source, doc, n = head["source"].astype(np.int32), head["doc"].copy(), head["n"].copy()
+        no, n, part, flat, parity, row, asks = (np.concatenate(a) for a in (numbers, sizes, parts, signatures, bits, rows, asking))
+        del numbers, sizes, parts, signatures, bits, rows, asking
         bands = Bands(t, load)
         words = bands.words[bands.of(n)]
         parity_start = np.cumsum(words) - words
-        indexed = head["indexed"].astype(np.int64)
-        lengths = indexed + head["asked"]
-        row = np.repeat(np.arange(len(n)), lengths)
-        start = np.cumsum(lengths) - lengths
-        asks = np.arange(len(flat)) - start[row] >= indexed[row]
         # One signature space for each part, should one task hold several.
-        key = (part[row] << 32) | flat.astype(np.int64)
+        key = (part.astype(np.int64) << 32) | flat
         index_key, index_row = key[~asks], row[~asks]
         order = np.argsort(index_key, kind="stable")
         index_key, index_row = index_key[order], index_row[order]
         ask_key, ask_row = key[asks], row[asks]
-        del key, row, asks, flat
+        del key, row, asks, flat, part
         low = np.searchsorted(index_key, ask_key, side="left")
         many = np.searchsorted(index_key, ask_key, side="right") - low
         keep = many > 0
@@ -400,7 +445,7 @@ def _match(t: Fraction, load: float):
                     x = np.repeat(ask_row[at:to], m)
                     y = index_row[np.arange(len(x)) + np.repeat(low[at:to] - (np.cumsum(m) - m), m)]
                 nx, ny = n[x], n[y]
-                ok = (doc[x] != doc[y]) & (source[x] == source[y]) & ((nx < ny) | ((nx == ny) & (doc[x] < doc[y])))
+                ok = (nx < ny) | ((nx == ny) & (no[x] < no[y]))
                 ok &= nx.astype(np.int64) * t.denominator >= ny.astype(np.int64) * t.numerator
                 x, y = x[ok], y[ok]
                 ok = apart(parity, parity_start, words, x, y) <= n[x].astype(np.int64) + n[y] - 2 * needed(n[x], n[y], t)
@@ -412,22 +457,26 @@ def _match(t: Fraction, load: float):
         if found:
             pairs = np.unique(np.concatenate(found))
             x, y = pairs >> 32, pairs & 0xFFFFFFFF
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(source[x]), pa.array(doc[x]), pa.array(doc[y])], names=["source", "x", "y"]
-            )
+            # A set may have come in several batches' rows of one part, so pairs are not yet distinct by number.
+            pairs = np.unique(np.stack([no[x], no[y]], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["x", "y"])
 
     return run
 
 
 def _verify(t: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            xs, ys = batch.column(3), batch.column(4)
-            good = []
-            for i in range(batch.num_rows):
-                a, b = unpacked(xs[i].as_py()), unpacked(ys[i].as_py())
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(shared * t.denominator >= (len(a) + len(b) - shared) * t.numerator)
+        for batch in _batches(batches):
+            sides = []
+            for column in (3, 4):
+                raw = batch.column(column).to_pylist()
+                n = np.array([len(r) // BYTES for r in raw], np.int64)
+                # A batch holds far fewer than 2^16 pairs, so a pair's number fits above its shingles.
+                sides.append((n, unpacked(b"".join(raw)) | (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(8 * BYTES))))
+            (nx, xs), (ny, ys) = sides
+            every = np.sort(np.concatenate([xs, ys]))
+            shared = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(8 * BYTES)).astype(np.int64), minlength=len(nx))
+            good = shared * t.denominator >= (nx + ny - shared) * t.numerator
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in range(3)], names=["source", "x", "y"])
 
@@ -440,12 +489,14 @@ def similar_texts(
     least_words: int = LEAST_WORDS,
     shingle: int = SHINGLE,
     load: float = LOAD,
-    counters: int = COUNTERS,
+    counters: int | None = None,
     share: int = SHARE,
+    parts: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """source (int), id, text -> (members: source, doc, id; pairs of different texts: source, x, y).
 
-    doc stands for a text; equal texts have one.
+    doc stands for a text; equal texts have one. The size of the table of counts and the number of parts follow the entries
+    unless they are given.
     """
     spark = texts.sparkSession
     t = Fraction(threshold)
@@ -453,29 +504,39 @@ def similar_texts(
         F.col("source").cast("int").alias("source"), "id", F.xxhash64("text").alias("doc"), "text"
     )
     own = rows.groupBy("source", "doc").agg(F.first("text").alias("text"))
-    sets = cut(own.select("source", "doc", "text").mapInArrow(_sets(least_words, shingle), "source int, doc long, shingles binary"))
+    sets = own.select("source", "doc", "text").mapInArrow(_sets(least_words, shingle), "source int, doc long, shingles binary")
+    # The number stands for a set on its way; rows of a task have consecutive ones.
+    sets = cut(sets.withColumn("no", F.monotonically_increasing_id()))
     # One exchange of the ids serves their distinctness and every join on the text.
     members = rows.select("source", "doc", "id").repartition("source", "doc").distinct()
     members = members.join(sets.select("source", "doc"), ["source", "doc"], "left_semi")
 
-    counted = sets.mapInArrow(_count(t, load, counters), "chunk int, counts binary")
-    chunks = counted.groupBy("chunk").applyInPandas(_add, "chunk int, counts binary").collect()
-    counts = np.zeros(counters, np.uint32)
+    numbered = sets.select("source", "no", "shingles")
+    shingles = (numbered.agg(F.sum(F.length("shingles"))).first()[0] or 0) // BYTES
+    counters = counters or int(np.clip(1 << max(0, int(shingles * 1.5 / ENTRIES_OF_COUNTER)).bit_length(), COUNTERS, MOST_COUNTERS))
+    counted = numbered.mapInArrow(_count(t, load, counters), "chunk int, counts binary")
     width = counters // CHUNKS
-    for c in chunks:
-        counts[c["chunk"] * width : (c["chunk"] + 1) * width] = np.frombuffer(c["counts"], "<u4")
-    entries = int(counts.sum(dtype=np.int64))
-    parts = max(spark.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES))
-    told = spark.sparkContext.broadcast(counts)
-    emitted = sets.mapInArrow(_emit(t, load, told, parts, share), _EMITTED)
-    candidates = cut(emitted.repartitionById(parts, F.col("part")).mapInArrow(_match(t, load), "source int, x long, y long").distinct())
-
-    ids = candidates.select("source", F.col("x").alias("doc")).union(candidates.select("source", "y")).distinct()
+    counts, groups = np.zeros(counters, np.uint32), {}
+    for c in counted.groupBy("chunk").applyInPandas(_add(width), "chunk int, counts binary").collect():
+        if c["chunk"] < 0:
+            groups[-1 - c["chunk"]] = int(np.frombuffer(c["counts"], "<u8")[0])
+        else:
+            counts[c["chunk"] * width : (c["chunk"] + 1) * width] = np.frombuffer(c["counts"], "<u4")
+    entries = sum(groups.values())
+    parts = parts or max(spark.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES))
+    # A counter holds other signatures' entries too; what they alone explain is no reason to deal a signature out.
+    share = max(share, 8 * entries // counters)
+    told = spark.sparkContext.broadcast((counts, Parts(groups, parts)))
+    emitted = numbered.mapInArrow(_emit(t, load, told, share), _EMITTED)
+    candidates = cut(emitted.repartitionById(parts, F.col("part")).mapInArrow(_match(t, load), "x long, y long").distinct())
+
+    ids = candidates.select(F.col("x").alias("no")).union(candidates.select("y")).distinct()
     few = candidates.count() <= BROADCAST_IDS // 2
-    picked = sets.join(F.broadcast(ids) if few else ids, ["source", "doc"], "left_semi")
-    left = picked.select("source", F.col("doc").alias("x"), F.col("shingles").alias("xs"))
-    right = picked.select("source", F.col("doc").alias("y"), F.col("shingles").alias("ys"))
-    both = candidates.join(left, ["source", "x"]).join(right, ["source", "y"]).select("source", "x", "y", "xs", "ys")
+    picked = sets.join(F.broadcast(ids) if few else ids, "no", "left_semi")
+    left = picked.select("source", F.col("no").alias("x"), F.col("doc").alias("xd"), F.col("shingles").alias("xs"))
+    right = picked.select(F.col("source").alias("y_source"), F.col("no").alias("y"), F.col("doc").alias("yd"), F.col("shingles").alias("ys"))
+    both = candidates.join(left, "x").join(right, "y").filter("source = y_source")
+    both = both.select("source", F.col("xd").alias("x"), F.col("yd").alias("y"), "xs", "ys")
     return members, both.mapInArrow(_verify(t), "source int, x long, y long")
 
 

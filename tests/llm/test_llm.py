@@ -7,6 +7,7 @@ from itertools import combinations
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -253,6 +254,34 @@ def test_groups_are_components(spark):
     assert got == {x: root(x) for x in list(parent)}
 
 
+def test_the_number_of_parts_changes_no_pair(spark):
+    df = spark.createDataFrame(near_texts(), "source int, id string, text string")
+    found = [{tuple(r) for r in near.id_pairs(*near.similar_texts(df, Fraction(1, 2), parts=parts)).collect()} for parts in (1, 300)]
+    assert found[0] == found[1] and found[0]
+
+
+def test_bytes_on_the_way_are_bounded_whatever_the_number_of_parts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 48, int(n), dtype=np.uint64)) for n in rng.integers(60, 150, 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(sets)), pa.array(range(len(sets))), pa.array([near.packed(s) for s in sets], pa.binary())], names=["source", "no", "shingles"])
+    bands, whole = near.Bands(near.THRESHOLD, near.LOAD), sum(len(s) for s in sets) * near.BYTES
+    index, _, band = near.Sets(batch).index(bands)
+    groups = {int(g): int(n) for g, n in enumerate(np.bincount(band)) if n}
+
+    def sent(parts: int) -> tuple[float, float]:
+        class Told:
+            value = np.zeros(1 << 20, np.uint32), near.Parts(groups, parts)
+
+        (out,) = near._emit(near.THRESHOLD, near.LOAD, Told, near.SHARE)(iter([batch]))
+        return tuple(sum(len(x) for i in of for x in out.column(i).to_pylist()) / whole for of in ((5,), range(2, 6)))
+
+    few, many, most = (sent(parts) for parts in (6, 700, 100_000))
+    assert few[0] == many[0] == most[0] < 1.1  # the entries themselves
+    # Heads and parities: once for each entry at most.
+    entry = near.SHORT + near._HEAD.itemsize + 8 * int(bands.words[bands.of(np.array([150]))][0])
+    assert few[1] < 1.5 and many[1] <= most[1] <= few[0] / near.SHORT * entry
+
+
 def test_no_texts_no_pairs(spark):
     df = spark.createDataFrame([], "source int, id string, text string")
     assert near.id_pairs(*near.similar_texts(df)).count() == 0
@@ -261,11 +290,10 @@ def test_no_texts_no_pairs(spark):
 def test_parities_never_exceed_the_difference():
     r = np.random.default_rng(2)
     bands = near.Bands(Fraction(3, 5), 1.0)
-    import pyarrow as pa
 
     base = [np.unique(r.integers(0, 1 << 40, n).astype(np.uint64)) for n in (60, 90, 150, 300)]
     sets = base + [np.unique(np.r_[b[: len(b) * 3 // 4], r.integers(0, 1 << 40, 40).astype(np.uint64)]) for b in base]
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(sets)), pa.array(range(len(sets))), pa.array([near.packed(s) for s in sets], pa.binary())], names=["source", "doc", "shingles"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(sets)), pa.array(range(len(sets))), pa.array([near.packed(s) for s in sets], pa.binary())], names=["source", "no", "shingles"])
     one = near.Sets(batch)
     flat, words = one.parities(bands)
     x, y = map(np.array, zip(*combinations(range(len(sets)), 2)))

@@ -11,7 +11,8 @@ TABLES = (
     "array<struct<rows:int,columns:int,cells:array<struct<row:int,column:int,rowspan:int,colspan:int,value:string>>,markdown:string>>"
 )
 DIACRITIC = f"[{ACCENTED}{ACCENTED.upper()}]"
-NOISE = r"[^\p{L}\p{N}_\s.,;:!?()\[\]\"'/%+*#|<>=&–—…“”«»-]"
+# Fixed value: what a page may hold besides letters, digits and space.
+NOISE = r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}À-ỹ.,;:!?%(){}\[\]\"'“”‘’\-+/=*#|<>]"
 
 
 def null_ratio(text: Column) -> Column:
@@ -46,16 +47,40 @@ def missing_headers(tables: Column) -> Column:
     )
 
 
+#: As TABLES, but with the text of the numbers, so that what is no number can be told from what is missing.
+RAW_TABLES = (
+    "array<struct<rows:string,columns:string,cells:array<struct<row:string,column:string,rowspan:string,colspan:string,value:string>>,markdown:string>>"
+)
+
+
 def bad_spans(tables: Column) -> Column:
-    """Cells that lie outside their table, overlap its rim or span less than one; tables without dimensions are passed over."""
+    """Cells (parsed as RAW_TABLES) with a place or span that is no whole number, negative or below one, or outside the table.
 
-    def bad(t: Column):
-        return lambda c: (
-            (c["row"] < 0) | (c["column"] < 0) | (c["rowspan"] < 1) | (c["colspan"] < 1)
-            | (c["row"] + c["rowspan"] > t["rows"]) | (c["column"] + c["colspan"] > t["columns"])
-        )
+    A missing row or column is 0, a missing span 1; tables without dimensions of one at least are passed over."""
 
-    counted = F.transform(
-        tables, lambda t: F.when((t["rows"] > 0) & (t["columns"] > 0), F.size(F.filter(t["cells"], bad(t)))).otherwise(0)
+    def bad(t: Column):
+        def check(c: Column) -> Column:
+            at = [F.coalesce(c[name], F.lit(default)) for name, default in (("row", "0"), ("column", "0"), ("rowspan", "1"), ("colspan", "1"))]
+            row, column, down, across = (x.try_cast("int") for x in at)
+            whole = [x.rlike("^-?[0-9]+$") for x in at]
+            return ~(whole[0] & whole[1] & whole[2] & whole[3]) | (
+                (row < 0) | (column < 0) | (down < 1) | (across < 1) | (row + down > t["rows"].try_cast("int")) | (column + across > t["columns"].try_cast("int"))
+            )
+
+        return check
+
+    sized = lambda t: F.coalesce((t["rows"].try_cast("int") > 0) & (t["columns"].try_cast("int") > 0), F.lit(False))
+    counted = F.transform(tables, lambda t: F.when(sized(t), F.size(F.filter(t["cells"], bad(t)))).otherwise(0))
+    return F.coalesce(F.aggregate(counted, F.lit(0), lambda a, n: a + F.greatest(n, F.lit(0))), F.lit(0))
+
+
+def metrics(text: Column, tables_json: Column) -> Column:
+    """All six as one struct; without tables there are no issues of them."""
+    return F.struct(
+        null_ratio(text).alias("null_ratio"),
+        diacritic_density(text).alias("diacritic_density"),
+        noise_ratio(text).alias("ocr_noise_ratio"),
+        broken_cells(text).alias("broken_cells_ratio"),
+        missing_headers(F.from_json(tables_json, TABLES)).alias("missing_table_headers"),
+        bad_spans(F.from_json(tables_json, RAW_TABLES)).alias("merged_cell_issues"),
     )
-    return F.coalesce(F.aggregate(counted, F.lit(0), lambda a, n: a + n), F.lit(0))

@@ -5,12 +5,17 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Letters, digits and underscore of any script; the same class in Spark and in the SQL the queries are checked with.
 WORD = r"[\p{L}\p{N}_]+"
 DOC_ID = r"[0-9]{1,5}/[0-9]{4}/[\p{Lu}0-9]+(?:-[\p{Lu}0-9]+)*"
+#: A document number as questions and citations write it, in any case; upper-cased by what finds it.
+CITED_ID = r"(?<![\p{L}\p{N}_])[0-9]+/[0-9]{4}/[A-ZĐ0-9]+(?:-[A-ZĐ0-9]+)*(?![\p{L}\p{N}_])"
+_CITES = r"(?:nguồn|nguon|sources?|citation)\s*:"
 # The precomposed Vietnamese letters and the letters under their accents.
 ACCENTED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyyd"
@@ -67,20 +72,70 @@ def doc_ids(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(DOC_ID), F.lit(0)))
 
 
-def citation_lines(text: Column) -> Column:
-    """Lines that name their sources."""
-    return F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(r"^\s*(nguồn|nguon|sources?|citations?)\s*:"))
+def named_docs(text: Column) -> Column:
+    """Document numbers that a text names, in upper case, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(CITED_ID), F.lit(0)))
 
 
 def cited_docs(text: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(citation_lines(text), lambda x: F.regexp_extract_all(F.upper(x), F.lit(DOC_ID), F.lit(0)))))
+    """Document numbers behind a word for source and a colon, up to the line's end."""
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?iu){_CITES}\s*([^\r\n]+)"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(blocks, named_docs)))
 
 
 def without_citations(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.lower(x).rlike(r"^\s*(nguồn|nguon|sources?|citations?)\s*:"))
-    return F.array_join(kept, "\n")
+    """The text without the lines that name its sources."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(rf"(?iu)^\s*{_CITES}")), "\n")
+
+
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Composed form; Spark has no function for it."""
+    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
 def evaluation_tokens(text: Column) -> Column:
-    """The distinct words two texts are compared by."""
-    return F.array_distinct(tokens(text))
+    """The distinct words two texts (in composed form) are compared by: lone signs are none."""
+    return F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) > 1) | w.rlike(r"^[\p{L}\p{Nd}²³¹⁰-⁹₀-₉]$")))
+
+
+# --- what a document's opening says of it ---------------------------------------------------------------------------------
+
+HEAD_ID, HEAD_TYPE, HEAD_TITLE = 20_000, 20_000, 16_000
+# Kinds of documents, how they are written without accents, and what their numbers hold.
+KINDS = (
+    ("Nghị định", "nghi dinh", "/nd-cp"),
+    ("Thông tư", "thong tu", "/tt-"),
+    ("Luật", "luat", None),
+    ("Quyết định", "quyet dinh", "/qd-"),
+    ("Nghị quyết", "nghi quyet", "/nq-"),
+)
+
+
+def head_id(text: Column, otherwise: Column) -> Column:
+    """The first document number of the opening, its type's accents put back."""
+    found = F.regexp_extract(fold(F.substring(text, 1, HEAD_ID)), r"(?<![a-z0-9])([0-9]+/[0-9]{4}/[a-z0-9]+(?:-[a-z0-9]+)*)", 1)
+    number, sign = F.regexp_extract(found, "^(.*)/", 1), F.upper(F.regexp_extract(found, "([^/]*)$", 1))
+    sign = F.when(sign == "ND-CP", "NĐ-CP").when(sign.startswith("QD-"), F.concat(F.lit("QĐ"), F.substring(sign, 3, 1000))).otherwise(sign)
+    return F.when(found == "", otherwise).otherwise(F.concat_ws("/", number, sign))
+
+
+def document_type(text: Column, doc_id: Column) -> Column:
+    """The first kind, in the order above, that the opening names, else the one that the number tells."""
+    head, number = fold(F.substring(text, 1, HEAD_TYPE)), fold(doc_id)
+    by_name = F.coalesce(*(F.when(head.contains(alias), kind) for kind, alias, _ in KINDS))
+    return F.coalesce(by_name, *(F.when(number.contains(sign), kind) for kind, _, sign in KINDS if sign))
+
+
+def document_title(text: Column, doc_id: Column, doc_type: Column) -> Column:
+    """The first line of the opening that holds the number and has 300 characters at most, without heading marks; else type and
+    number."""
+    lines = F.transform(F.split(F.substring(text, 1, HEAD_TITLE), "\r\n|\n|\r"), lambda x: F.regexp_replace(x, r"(?U)^[#*\s]+|[#*\s]+$", ""))
+    found = F.get(F.filter(lines, lambda x: x.contains(doc_id) & (F.length(x) <= 300)), F.lit(0))
+    return F.coalesce(found, F.concat_ws(" ", F.when(doc_id.isNotNull(), doc_type), doc_id))
+
+
+def content_id(text: Column) -> Column:
+    """A document's id by its contents: comments don't count, nor does white space."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->", "")
+    return F.concat(F.lit("DOC-"), F.substring(F.sha2(strip_space(F.regexp_replace(bare, r"(?U)\s+", " ")), 256), 1, 24))

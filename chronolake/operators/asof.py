@@ -14,6 +14,11 @@ def valid_at(at, start: str = "effective_from", end: str = "effective_to") -> Co
     return (F.col(start) <= at) & (F.col(end).isNull() | (F.col(end) > at))
 
 
+def issued_by(df: DataFrame, at) -> DataFrame:
+    """Rows issued by a date, whether in force or not."""
+    return df.filter(F.col("issued_date") <= at)
+
+
 def as_of(df: DataFrame, at, docs: DataFrame | None = None) -> DataFrame:
     """Rows valid at a date, of the given documents only if any are given."""
     found = df.filter(valid_at(at))

@@ -15,25 +15,49 @@ def chunk_hash(chunk_id: Column, version: Column, text: Column) -> Column:
     return F.sha2(F.concat(F.lit("chunk_id="), chunk_id, F.lit("\ndoc_version_hash="), version, F.lit("\ntext="), text), 256)
 
 
-def segments(provisions: DataFrame) -> DataFrame:
-    """One row per page segment with text, in page order; segments without a page come last."""
-    rows = provisions.select("provision_id", "logical_doc_id", F.posexplode(F.from_json("page_segments_json", SEGMENTS)).alias("segment_no", "s"))
+def metadata(*columns: str) -> Column:
+    """What a chunk inherits of its provision, as JSON; NULL fields are left out."""
+    return F.to_json(F.struct(*columns))
+
+
+def json_list(parsed: Column) -> Column:
+    """JSON of a list; an empty one is [] and a missing one NULL."""
+    return F.to_json(parsed)
+
+
+def segments(provisions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page segment with text; text that is no JSON list of segments is an error, NULL is an empty list.
+
+    segment_no is the place in the list; page_order orders a provision's segments by page, those without a page last."""
+    parsed = F.from_json("page_segments_json", SEGMENTS, {"mode": "FAILFAST"})
+    rows = provisions.select("provision_id", "logical_doc_id", *keep, F.posexplode(parsed).alias("segment_no", "s"))
+    ordered = F.struct(F.col("s.global_page").isNull().alias("pageless"), F.col("s.global_page").alias("page"), "segment_no")
     return rows.select(
-        "provision_id", "logical_doc_id", "segment_no", "s.physical_file_id", "s.physical_page", "s.global_page", strip_space(F.col("s.text")).alias("text")
+        "provision_id", "logical_doc_id", *keep, "segment_no", "s.physical_file_id", "s.physical_page", "s.global_page", strip_space(F.col("s.text")).alias("text"), ordered.alias("page_order"),
     ).filter("text <> ''")
 
 
-def chunks(provisions: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Overlapping windows of each page segment, numbered within provision and page so that no two share an id."""
+def checked_provisions(provisions: DataFrame, document: str | None = None) -> DataFrame:
+    """The provisions, refused where one has no id or, if a document is told, belongs to another."""
+    wrong = F.coalesce(F.col("provision_id"), F.lit("")) == ""
+    if document is not None:
+        wrong = wrong | ~F.coalesce(F.col("logical_doc_id") == document, F.lit(False))
+    return provisions.withColumn("provision_id", F.when(~wrong, F.col("provision_id")).otherwise(F.raise_error(F.lit("a provision has no id or is of another document"))))
+
+
+def chunks(provisions: DataFrame, size: int = SIZE, overlap: int = OVERLAP, inherit: tuple[str, ...] = ()) -> DataFrame:
+    """Overlapping windows of each page segment, numbered within provision and page so that no two share an id; with the columns
+    of inherit as they are in the provision, and as JSON in metadata_json."""
     if not 0 <= overlap < size:
         raise ValueError("it must hold that 0 <= overlap < size")
-    words = segments(provisions.dropDuplicates(["provision_id"])).withColumn("words", space_tokens(F.col("text")))
+    words = segments(provisions.dropDuplicates(["provision_id"]), inherit).withColumn("words", space_tokens(F.col("text")))
     cut = words.select("*", F.posexplode(windows(F.col("words"), size, overlap)).alias("chunk_index", "piece"))
     page = F.coalesce(F.col("global_page").cast("string"), F.lit("unknown"))
     chunk_id = F.concat_ws(":", "logical_doc_id", "provision_id", page, "segment_no", "chunk_index")
+    kept = [*inherit, metadata(*inherit).alias("metadata_json")] if inherit else []
     return cut.select(
-        chunk_id.alias("chunk_id"), "provision_id", "logical_doc_id", "physical_file_id", "global_page", "chunk_index",
-        F.col("piece").alias("text_content"), chunk_hash(chunk_id, F.coalesce("physical_file_id", F.lit("")), F.col("piece")).alias("chunk_hash"),
+        chunk_id.alias("chunk_id"), "provision_id", "logical_doc_id", "physical_file_id", "global_page", "chunk_index", "page_order",
+        F.col("piece").alias("text_content"), chunk_hash(chunk_id, F.coalesce("physical_file_id", F.lit("")), F.col("piece")).alias("chunk_hash"), *kept,
     )
 
 

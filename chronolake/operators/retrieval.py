@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolake.functions.text import tokens
-from chronolake.operators.asof import counts_at, valid_at
+from chronolake.operators.ranking import rank
+from chronolake.session import blocks
 
-K1, B = 1.5, 0.75
 #: Query vectors that are compared with all rows at once.
 BLOCK = 4096
 
@@ -28,59 +28,19 @@ def idf(n: Column, df: Column) -> Column:
     return F.ln(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def term_weight(tf: Column, length: Column, mean: Column) -> Column:
-    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-
-
-def query_terms(queries: DataFrame) -> DataFrame:
-    """sample_id, term, times: repeated words of a question count as often as they stand there."""
-    return queries.select("sample_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("sample_id", "term").agg(F.count("*").alias("times"))
-
-
 def top(scored: DataFrame, k: int, id_column: str) -> DataFrame:
     best = Window.partitionBy("sample_id").orderBy(F.desc("score"), F.asc_nulls_last(id_column))
     return scored.filter("score > 0").withColumn("rank_no", F.row_number().over(best)).filter(F.col("rank_no") <= k)
 
 
 def bm25(texts: DataFrame, queries: DataFrame, k: int, id_column: str) -> DataFrame:
-    """sample_id, id, score, rank_no of the k best texts by BM25 over the whole collection.
-
-    Only the questions' terms take part; the document frequencies of a term are counted where it meets its postings.
-    """
-    asked = query_terms(queries)
-    own = postings(texts, [id_column])
-    whole = texts.select(F.size(tokens(F.col("text"))).alias("w")).agg(F.count("*").alias("n"), F.avg("w").alias("mean"))
-    wanted = own.join(asked.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    scored = (
-        wanted.join(df, "term").crossJoin(F.broadcast(whole))
-        .select("term", id_column, (idf(F.col("n"), F.col("df")) * term_weight(F.col("tf"), F.col("n_words"), F.col("mean"))).alias("weight"))
-        .join(asked, "term")
-        .groupBy("sample_id", id_column)
-        .agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
-    )
-    return top(scored, k, id_column)
+    """sample_id, id, score, rank_no of the k best texts by BM25 over the whole collection."""
+    return rank(texts.withColumnRenamed(id_column, "id"), queries, k, dated=False).withColumnRenamed("id", id_column)
 
 
 def asof_bm25(texts: DataFrame, queries: DataFrame, k: int, id_column: str) -> DataFrame:
-    """As bm25, but with each question's statistics over only the texts valid at its date t.
-
-    How many texts are valid at each date, and their words, comes from a sweep; document frequencies are counted per distinct
-    pair of term and date, so questions about one date share them.
-    """
-    span = ["effective_from", "effective_to"]
-    valid = texts.filter("effective_from is not null")
-    asked = query_terms(queries).join(queries.select("sample_id", "t"), "sample_id").filter("t is not null")
-    lengths = valid.select(*span, F.size(tokens(F.col("text"))).alias("w"))
-    whole = counts_at(lengths, queries.filter("t is not null").select("t").distinct(), F.col("w"))
-    pairs = asked.select("term", "t").distinct()
-    met = postings(valid, [id_column, *span]).join(pairs, "term").filter(valid_at(F.col("t")))
-    df = met.groupBy("term", "t").agg(F.count("*").alias("df"))
-    weighed = met.join(df, ["term", "t"]).join(whole, "t")
-    mean = F.greatest(F.col("total") / F.col("n_valid"), F.lit(1.0))
-    weighed = weighed.select("term", "t", id_column, (idf(F.col("n_valid"), F.col("df")) * term_weight(F.col("tf"), F.col("n_words"), mean)).alias("weight"))
-    scored = weighed.join(asked, ["term", "t"]).groupBy("sample_id", id_column).agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score"))
-    return top(scored, k, id_column)
+    """As bm25, but with each question's statistics over only the texts valid at its date t."""
+    return rank(texts.withColumnRenamed(id_column, "id"), queries, k, least_mean=1.0).withColumnRenamed("id", id_column)
 
 
 def phrase_counts(texts: DataFrame, id_column: str, n: int) -> DataFrame:
@@ -141,21 +101,14 @@ def _nearest(queries, k: int):
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k rows of greatest cosine for each query vector, exactly: blocks of queries against all rows, k kept per task."""
-    spark, found, at = vectors.sparkSession, None, None
-    while True:
-        rows = queries if at is None else queries.filter(F.col("vec_id") > at)
-        part = rows.orderBy("vec_id").limit(block).collect()
-        if not part:
-            break
+    spark, found = vectors.sparkSession, None
+    for part in blocks(queries, "vec_id", block):
         ids = np.array([r["vec_id"] for r in part], np.int64)
         asked = np.array([r["embedding"] for r in part], np.float64)
         norms = np.linalg.norm(asked, axis=1, keepdims=True)
         told = spark.sparkContext.broadcast((ids, asked / np.where(norms == 0, 1.0, norms)))
         one = vectors.select("vec_id", "embedding").mapInArrow(_nearest(told, k), "sample_id long, vec_id long, score double")
         found = one if found is None else found.unionByName(one)
-        at = int(ids[-1])
-        if len(part) < block:
-            break
     if found is None:
         return spark.createDataFrame([], "sample_id long, vec_id long, score double, rank_no int")
     w = Window.partitionBy("sample_id").orderBy(F.desc("score"), "vec_id")

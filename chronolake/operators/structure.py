@@ -5,49 +5,77 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolake.operators.parsing import part_offsets
+
 HEADING = r"^\s*(?:#{1,6}\s*)?(?:\*\*)?\s*Điều\s+([0-9]+[a-zđ]?)\."
 
 
 def page_offsets(pages: DataFrame) -> DataFrame:
-    """Where each page's text starts in its document, pages two characters apart."""
-    order = Window.partitionBy("logical_doc_id").orderBy("part_no", "physical_page").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.length(F.coalesce("raw_text", F.lit("")))
-    return pages.select("logical_doc_id", "part_no", "physical_page", length.alias("n"), F.coalesce(F.sum(length + 2).over(order), F.lit(0)).alias("page_start"))
+    """Where each page's text starts in its document, pages two characters apart; windows run within a part only."""
+    within = Window.partitionBy("logical_doc_id", "part_no").orderBy("physical_page").rowsBetween(Window.unboundedPreceding, -1)
+    rows = pages.select("logical_doc_id", "part_no", "physical_page", F.length(F.coalesce("raw_text", F.lit(""))).alias("n"))
+    rows = rows.withColumn("in_part", F.coalesce(F.sum(F.col("n") + 2).over(within), F.lit(0)))
+    joined = rows.join(part_offsets(rows, F.col("n") + 2), ["logical_doc_id", "part_no"])
+    return joined.select("logical_doc_id", "part_no", "physical_page", "n", (F.col("part_start") + F.col("in_part")).alias("page_start"))
 
 
 def headings(pages: DataFrame) -> DataFrame:
-    """The first heading of each article number of a document: document, number, page, line; ordered spans end at the next."""
+    """The first heading of each article number of a document: document, number, page, line; ordered spans end at the next.
+
+    What follows the last heading of a part is the first of the next part that has one, so windows over headings run within parts."""
     line = pages.select("logical_doc_id", "part_no", "physical_page", F.posexplode(F.split("raw_text", "\n")).alias("line_no", "line"))
     found = line.filter(F.col("line").rlike(HEADING)).withColumn("number", F.regexp_extract("line", HEADING, 1))
-    at = ["part_no", "physical_page", "line_no"]
-    first = Window.partitionBy("logical_doc_id", "number").orderBy(*at)
-    kept = found.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place", "line")
-    after = Window.partitionBy("logical_doc_id").orderBy(*at)
-    return kept.withColumn("next_page", F.lead("physical_page").over(after)).withColumn("next_number", F.lead("number").over(after))
-
-
-def overlap(spans: DataFrame, pages: DataFrame, key: str) -> DataFrame:
-    """Spans and pages that overlap by half-open intervals, clipped to what they share."""
-    joined = spans.join(pages, key).filter((F.col("page_end") > F.col("span_start")) & (F.col("page_start") < F.col("span_end")))
-    return joined.withColumn("from_", F.greatest("span_start", "page_start")).withColumn("to_", F.least("span_end", "page_end")).filter("from_ < to_")
+    at = F.struct("part_no", "physical_page", "line_no")
+    kept = found.groupBy("logical_doc_id", "number").agg(F.min(at).alias("at")).select("logical_doc_id", "at.*", "number")
+    here = F.struct("physical_page", "number")
+    inside = Window.partitionBy("logical_doc_id", "part_no").orderBy("physical_page", "line_no")
+    first = kept.groupBy("logical_doc_id", "part_no").agg(F.min_by(here, F.struct("physical_page", "line_no")).alias("first"))
+    following = first.select("logical_doc_id", "part_no", F.lead("first").over(Window.partitionBy("logical_doc_id").orderBy("part_no")).alias("beyond"))
+    rows = kept.withColumn("next", F.lead(here).over(inside)).join(following, ["logical_doc_id", "part_no"])
+    after = F.coalesce("next", "beyond")
+    return rows.select("logical_doc_id", "part_no", "physical_page", "line_no", "number", after["physical_page"].alias("next_page"), after["number"].alias("next_number"))
+
+
+def overlap(spans: DataFrame, pages: DataFrame, key: str, width: int = 64) -> DataFrame:
+    """Spans and pages that overlap by half-open intervals, clipped to what they share.
+
+    They meet by key and stretch of `width`, so a key that holds a tenth of all rows is no single task's; a pair that shares several
+    stretches comes from the first of them."""
+    bucket = lambda c: F.floor(F.col(c) / width)
+    last = lambda c: F.floor((F.col(c) - 1) / width)
+    a = spans.filter("span_start < span_end").withColumn("_at", F.explode(F.sequence(bucket("span_start"), last("span_end"))))
+    b = pages.filter("page_start < page_end").withColumn("_at", F.explode(F.sequence(bucket("page_start"), last("page_end"))))
+    joined = a.join(b, [key, "_at"]).filter((F.col("page_end") > F.col("span_start")) & (F.col("page_start") < F.col("span_end")))
+    joined = joined.filter(F.col("_at") == F.greatest(bucket("span_start"), bucket("page_start"))).drop("_at")
+    return joined.withColumn("from_", F.greatest("span_start", "page_start")).withColumn("to_", F.least("span_end", "page_end"))
 
 
 def tree_issues(provisions: DataFrame) -> DataFrame:
-    """provision_id and the codes of what is wrong with its place in the tree."""
-    parent = provisions.select(F.col("provision_id").alias("parent_id"), F.col("level").alias("parent_level"), F.col("provision_path").alias("parent_path"))
-    parent = parent.dropDuplicates(["parent_id"])
-    joined = provisions.dropDuplicates(["provision_id"]).join(parent, F.col("parent_provision_id") == F.col("parent_id"), "left")
-    level = F.col("level")
+    """provision_id, logical_doc_id, provision_path and the codes of what is wrong with a provision's place in the tree.
+
+    Rows that differ are told apart: an id or a document's path that several different rows have is an issue; exact copies of a row
+    are one row."""
+    rows = provisions.select("provision_id", "logical_doc_id", "parent_provision_id", "level", "provision_path", "provision_number", "effectivity_mode").distinct()
+    ids = rows.groupBy("provision_id").agg(F.count("*").alias("same_id"))
+    paths = rows.groupBy("logical_doc_id", "provision_path").agg(F.count("*").alias("same_path"))
+    parent = rows.select(F.col("provision_id").alias("parent_id"), F.col("level").alias("parent_level"), F.col("provision_path").alias("parent_path"))
+    parent = parent.groupBy("parent_id").agg(F.min("parent_level").alias("parent_level"), F.min("parent_path").alias("parent_path"))
+    joined = rows.join(parent, F.col("parent_provision_id") == F.col("parent_id"), "left").join(ids, "provision_id", "left")
+    joined = joined.join(paths, ["logical_doc_id", "provision_path"], "left")
+    level, above = F.col("level"), F.coalesce("parent_level", F.lit(""))
+    right_path = F.coalesce(F.col("provision_path") == F.concat_ws(".", "parent_path", "provision_number"), F.lit(False))
     codes = F.array(
-        F.when(~level.isin("article", "clause", "point"), "LEVEL_UNKNOWN"),
+        F.when(F.col("provision_id").isNull(), "ID_MISSING"),
+        F.when(F.col("same_id") > 1, "ID_NOT_UNIQUE"),
+        F.when(F.col("same_path") > 1, "PATH_NOT_UNIQUE"),
+        F.when(~F.coalesce(level.isin("article", "clause", "point"), F.lit(False)), "LEVEL_UNKNOWN"),
         F.when(F.col("parent_provision_id").isNotNull() & F.col("parent_id").isNull(), "PARENT_MISSING"),
-        F.when((level == "article") & (F.col("parent_provision_id").isNotNull() | (F.col("provision_path") != F.col("provision_number"))), "ROOT_INVALID"),
-        F.when(
-            (level == "clause") & (F.col("parent_level") != "article") | (level == "point") & (F.col("parent_level") != "clause"), "PARENT_LEVEL_INVALID"
-        ),
-        F.when(F.col("parent_path").isNotNull() & (F.col("provision_path") != F.concat_ws(".", "parent_path", "provision_number")), "PATH_INVALID"),
+        F.when((level == "article") & (F.col("parent_id").isNotNull() | ~F.coalesce(F.col("provision_path") == F.col("provision_number"), F.lit(False))), "ROOT_INVALID"),
+        F.when((level == "clause") & (above != "article") | (level == "point") & (above != "clause"), "PARENT_LEVEL_INVALID"),
+        F.when(level.isin("clause", "point") & F.col("parent_id").isNotNull() & ~right_path, "PATH_INVALID"),
+        F.when(~F.coalesce(F.col("effectivity_mode").isin("inherit", "explicit_date", "external_trigger", "unknown"), F.lit(False)), "MODE_UNKNOWN"),
     )
-    return joined.select("provision_id", F.filter(codes, lambda c: c.isNotNull()).alias("codes")).filter(F.size("codes") > 0)
+    return joined.select("provision_id", "logical_doc_id", "provision_path", F.sort_array(F.array_compact(codes)).alias("codes")).filter(F.size("codes") > 0).distinct()
 
 
 def ancestors(provisions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolake.functions import dates, quality, text
@@ -30,13 +30,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _provisions(spark: SparkSession, folder: str) -> DataFrame:
-    """The provisions, exact duplicates once."""
-    return table(spark, folder, "silver_provisions").dropDuplicates(["provision_id"])
+def _provisions(spark: SparkSession, folder: str, *columns: str, where: Column | None = None) -> DataFrame:
+    """Columns of the provisions, exact duplicates once. Filter and columns come before that, so that they reach the scan and only
+    what is asked for crosses the network."""
+    rows = table(spark, folder, "silver_provisions")
+    rows = rows.filter(where) if where is not None else rows
+    return rows.select(*columns).distinct() if columns else rows.dropDuplicates(["provision_id"])
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    return _provisions(spark, folder).select("provision_id", "effective_from", "effective_to", F.col("content").alias("text"))
+    return _provisions(spark, folder, "provision_id", "effective_from", "effective_to", "content").withColumnRenamed("content", "text")
 
 
 def _questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,24 +69,25 @@ def asof_provisions(spark, folder):
   AND logical_doc_id IN (SELECT logical_doc_id FROM silver_effectivity_rules WHERE target_path <> '*')""")
 def asof_provisions_docs(spark, folder):
     docs = table(spark, folder, "silver_effectivity_rules").filter("target_path <> '*'").select("logical_doc_id")
-    return asof.as_of(_provisions(spark, folder), F.lit(AT).cast("date"), docs).select("provision_id")
+    return asof.as_of(table(spark, folder, "silver_provisions"), F.lit(AT).cast("date"), docs).select("provision_id").distinct()
 
 
 @query(f"WITH {P} SELECT provision_id, issued_date FROM provisions WHERE issued_date <= DATE '{AT}'")
 def issued_provisions(spark, folder):
-    return _provisions(spark, folder).filter(F.col("issued_date") <= F.lit(AT).cast("date")).select("provision_id", "issued_date")
+    return asof.issued_by(table(spark, folder, "silver_provisions"), F.lit(AT).cast("date")).select("provision_id", "issued_date").distinct()
 
 
 @query(f"""WITH {P} SELECT provision_id, CASE WHEN effective_from IS NOT NULL THEN effective_from <= DATE '{AT}' AND (effective_to IS NULL OR DATE '{AT}' < effective_to) END AS in_force FROM provisions""")
 def in_force_state(spark, folder):
-    return _provisions(spark, folder).select("provision_id", dates.in_force(F.col("effective_from"), F.col("effective_to"), F.lit(AT).cast("date")).alias("in_force"))
+    return _provisions(spark, folder, "provision_id", "effective_from", "effective_to").select("provision_id", dates.in_force(F.col("effective_from"), F.col("effective_to"), F.lit(AT).cast("date")).alias("in_force"))
 
 
 @query(f"""WITH {P}, joined AS (SELECT p.provision_id, p.effective_from, least(p.effective_to,
     (SELECT min(r.effective_to) FROM silver_effectivity_rules r WHERE r.logical_doc_id = p.logical_doc_id AND r.target_path IN ('*', p.provision_path))) AS valid_to FROM provisions p)
   SELECT * FROM joined WHERE effective_from <= DATE '{AT}' AND (valid_to IS NULL OR DATE '{AT}' < valid_to)""")
 def superseded_provisions(spark, folder):
-    found = asof.superseded(_provisions(spark, folder), table(spark, folder, "silver_effectivity_rules"), F.lit(AT).cast("date"))
+    rows = _provisions(spark, folder, "provision_id", "logical_doc_id", "provision_path", "effective_from", "effective_to", where=F.col("effective_from") <= F.lit(AT).cast("date"))
+    found = asof.superseded(rows, table(spark, folder, "silver_effectivity_rules"), F.lit(AT).cast("date"))
     return found.select("provision_id", "effective_from", "valid_to")
 
 
@@ -103,7 +107,7 @@ def events_asof_order(spark, folder):
   LEFT JOIN provisions p ON p.effective_from <= q.t AND (p.effective_to IS NULL OR p.effective_to > q.t) GROUP BY t""")
 def valid_at_each_question(spark, folder):
     days = _questions(spark, folder).filter("t is not null").select("t").distinct()
-    return asof.counts_at(_provisions(spark, folder), days).select("t", "n_valid")
+    return asof.counts_at(_provisions(spark, folder, "provision_id", "effective_from", "effective_to"), days).select("t", "n_valid")
 
 
 # --- text -----------------------------------------------------------------------------------------------------------------
@@ -126,20 +130,12 @@ def corpus_statistics(spark, folder):
 
 
 @query(f"""WITH {P}, w AS (SELECT regexp_extract_all(lower(content), {W}) AS t FROM provisions),
-  g AS (SELECT unnest(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS phrase FROM w WHERE len(t) >= 2)
+  g AS (SELECT unnest(list_distinct(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS phrase FROM w WHERE len(t) >= 2
+    UNION ALL SELECT unnest(list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) FROM w WHERE len(t) >= 3)
   SELECT phrase, count(*) AS df FROM g GROUP BY phrase""")
 def phrase_frequency(spark, folder):
-    return retrieval.phrase_counts(_texts(spark, folder), "provision_id", 2)
-
-
-_USUAL = f"[^\\x00-\\x7F{text.ACCENTED}{text.ACCENTED.upper()}–…“”]"
-
-
-@query(f"SELECT doc_id, strip_accents(replace(lower(text), 'đ', 'd')) AS folded FROM documents WHERE lang = 'vi' AND NOT regexp_matches(text, '{_USUAL}')")
-def folded_texts(spark, folder):
-    """Only texts with lang = 'vi' and usual characters, as its SQL says; folded_documents folds all."""
-    rows = table(spark, folder, "documents").filter((F.col("lang") == "vi") & ~F.col("text").rlike(_USUAL))
-    return rows.select("doc_id", text.fold(F.col("text")).alias("folded"))
+    two, three = (retrieval.phrase_counts(_texts(spark, folder), "provision_id", n) for n in (2, 3))
+    return two.unionByName(three)
 
 
 @query("SELECT doc_id, strip_accents(replace(lower(text), 'đ', 'd')) AS folded FROM documents")
@@ -153,25 +149,6 @@ def document_ids_named(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.explode(text.doc_ids(F.col("text"))).alias("cited"))
 
 
-@query(f"WITH {Q} SELECT sample_id, t FROM questions")
-def question_dates(spark, folder):
-    return _questions(spark, folder).select("sample_id", "t")
-
-
-@query(f"""SELECT sample_id, CASE WHEN regexp_matches(lower(question), 'còn hiệu lực|hết hiệu lực|tình trạng') THEN 'status'
-  WHEN regexp_matches(lower(question), 'có hiệu lực|áp dụng|thi hành|tại ngày') THEN 'effective'
-  WHEN regexp_matches(lower(question), 'ban hành|quy định gì|nội dung') THEN 'issued' ELSE 'effective' END AS basis FROM (SELECT DISTINCT sample_id, question FROM naive_q100)""")
-def question_date_basis(spark, folder):
-    return _questions(spark, folder).select("sample_id", dates.date_basis(F.col("question")).alias("basis"))
-
-
-@query("""WITH r AS (SELECT DISTINCT rule_id, regexp_extract(lower(source_text), 'có hiệu lực(?: thi hành)? (?:kể )?(?:từ|vào) ngày (.*)', 1) AS rest FROM silver_effectivity_rules),
-  l AS (SELECT *, regexp_extract(rest, '([0-9]{1,2}) tháng ([0-9]{1,2}) năm ([0-9]{4})', ['d', 'm', 'y']) AS a, regexp_extract(rest, '([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4})', ['d', 'm', 'y']) AS b FROM r)
-  SELECT rule_id, coalesce(try_strptime(a.y || '-' || a.m || '-' || a.d, '%Y-%m-%d'), try_strptime(b.y || '-' || b.m || '-' || b.d, '%Y-%m-%d'))::DATE AS extracted FROM l""")
-def rule_dates(spark, folder):
-    return table(spark, folder, "silver_effectivity_rules").select("rule_id", dates.effective_date(F.col("source_text")).alias("extracted")).distinct()
-
-
 # --- chunks ---------------------------------------------------------------------------------------------------------------
 
 _CHUNKS = f"""{P}, seg AS (SELECT provision_id, logical_doc_id, unnest(range(len(s))) AS segment_no, s FROM (SELECT provision_id, logical_doc_id,
@@ -258,7 +235,7 @@ def dense_topk(spark, folder):
 
 _PAGES = "pages AS (SELECT DISTINCT ON (logical_doc_id, part_no, physical_page) * FROM silver_pages ORDER BY logical_doc_id, part_no, physical_page, created_at)"
 _DIA = quality.DIACRITIC
-_NOISE = r"[^\p{L}\p{N}_\s.,;:!?()\[\]\"''/%+*#|<>=&–—…“”«»-]"
+_NOISE = r"[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}À-ỹ.,;:!?%(){}\[\]\"''“”‘’\-+/=*#|<>]"
 _METRICS = f"""{_PAGES}, m AS (SELECT logical_doc_id, part_no, physical_page, markdown_content AS t, tables_json,
     CASE WHEN coalesce(len(markdown_content), 0) = 0 THEN 1.0 ELSE len(regexp_extract_all(markdown_content, '[\\x{{0000}}\\x{{FFFD}}]'))::DOUBLE / len(markdown_content) END AS null_ratio,
     CASE WHEN coalesce(len(regexp_extract_all(markdown_content, '\\p{{L}}')), 0) = 0 THEN 0.0 ELSE len(regexp_extract_all(markdown_content, '{_DIA}'))::DOUBLE / len(regexp_extract_all(markdown_content, '\\p{{L}}')) END AS density,
@@ -267,7 +244,7 @@ _METRICS = f"""{_PAGES}, m AS (SELECT logical_doc_id, part_no, physical_page, ma
   metrics AS (SELECT *, CASE WHEN len(cells) = 0 THEN 0.0 ELSE list_sum(list_transform(cells, lambda c: abs(c - list_max(cells))))::DOUBLE / list_sum(cells) END AS broken,
     from_json(tables_json, '[{{"rows":"INTEGER","columns":"INTEGER","cells":[{{"row":"INTEGER","column":"INTEGER","rowspan":"INTEGER","colspan":"INTEGER","value":"VARCHAR"}}]}}]') AS tables FROM m),
   tabled AS (SELECT *, coalesce(list_bool_or(list_transform(tables, lambda tb: len(tb.cells) > 0 AND len(list_filter(tb.cells, lambda c: coalesce(c."row", 1) = 0)) = 0)), false) AS headless,
-    coalesce(list_sum(list_transform(tables, lambda tb: CASE WHEN tb."rows" > 0 AND tb."columns" > 0 THEN len(list_filter(tb.cells, lambda c: c."row" < 0 OR c."column" < 0 OR c.rowspan < 1 OR c.colspan < 1 OR c."row" + c.rowspan > tb."rows" OR c."column" + c.colspan > tb."columns")) ELSE 0 END)), 0) AS spans FROM metrics)"""
+    coalesce(list_sum(list_transform(tables, lambda tb: CASE WHEN tb."rows" > 0 AND tb."columns" > 0 THEN len(list_filter(tb.cells, lambda c: coalesce(c."row", 0) < 0 OR coalesce(c."column", 0) < 0 OR coalesce(c.rowspan, 1) < 1 OR coalesce(c.colspan, 1) < 1 OR coalesce(c."row", 0) + coalesce(c.rowspan, 1) > tb."rows" OR coalesce(c."column", 0) + coalesce(c.colspan, 1) > tb."columns")) ELSE 0 END)), 0) AS spans FROM metrics)"""
 
 
 def _latest_pages(spark, folder):
@@ -285,9 +262,9 @@ def page_quality(spark, folder):
 
 @query(f"WITH {_METRICS} SELECT logical_doc_id, part_no, physical_page, headless, spans::INTEGER AS spans FROM tabled")
 def table_quality(spark, folder):
-    parsed = F.from_json("tables_json", quality.TABLES)
+    m = quality.metrics(F.col("markdown_content"), F.col("tables_json"))
     return _latest_pages(spark, folder).select(
-        "logical_doc_id", "part_no", "physical_page", quality.missing_headers(parsed).alias("headless"), quality.bad_spans(parsed).alias("spans")
+        "logical_doc_id", "part_no", "physical_page", m["missing_table_headers"].alias("headless"), m["merged_cell_issues"].alias("spans")
     )
 
 
@@ -300,11 +277,11 @@ def quality_contract(spark, folder):
 
 _TEMPORAL = "list_filter([CASE WHEN effective_from < issued_date THEN 'INVALID_START_DATE' END, CASE WHEN effective_to <= effective_from THEN 'INVALID_END_DATE' END], lambda x: x IS NOT NULL)"
 _SCHEMA = """list_filter([CASE WHEN title IS NULL OR trim(title) = '' THEN 'MISSING_TITLE' END, CASE WHEN content IS NULL OR trim(content) = '' THEN 'MISSING_CONTENT' END,
-  CASE WHEN status IS NULL OR trim(status) = '' THEN 'MISSING_STATUS' END, CASE WHEN NOT regexp_full_match(coalesce(logical_doc_id, ''), '[0-9]{1,5}/[0-9]{4}/[\\p{Lu}0-9]+(-[\\p{Lu}0-9]+)*|DOC-[0-9a-f]{24}') THEN 'DOC_ID_INVALID' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN status IS NULL OR trim(status) = '' THEN 'MISSING_STATUS' END, CASE WHEN NOT regexp_full_match(coalesce(logical_doc_id, ''), '[0-9]+/[0-9]{4}/(NĐ-CP|TT-[A-Z]+|QH[0-9]+|QĐ-[A-Za-z]+|NQ-[A-Z]+)|DOC-[0-9a-f]{24}') THEN 'DOC_ID_INVALID' END], lambda x: x IS NOT NULL)"""
 
 
 def _contract(spark, folder):
-    return contracts.checkpoint(_provisions(spark, folder), schema=contracts.schema_codes(["title", "content", "status"]), temporal=contracts.temporal_codes())
+    return contracts.checkpoint(_provisions(spark, folder), schema=contracts.field_codes(["title", "content", "status"]), temporal=contracts.temporal_codes())
 
 
 @query(f"WITH {P} SELECT provision_id, list_sort(list_concat({_SCHEMA}, {_TEMPORAL})) AS codes, CASE WHEN len(list_concat({_SCHEMA}, {_TEMPORAL})) = 0 THEN 'PASSED' ELSE 'QUARANTINE' END AS status_code FROM provisions")
@@ -339,16 +316,6 @@ def contract_confusion(spark, folder):
 # --- structure ------------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {P}, j AS (SELECT p.*, q.provision_id AS pid, q.level AS plevel, q.provision_path AS ppath FROM provisions p LEFT JOIN provisions q ON p.parent_provision_id = q.provision_id),
-  c AS (SELECT provision_id, list_filter([CASE WHEN level NOT IN ('article', 'clause', 'point') THEN 'LEVEL_UNKNOWN' END, CASE WHEN parent_provision_id IS NOT NULL AND pid IS NULL THEN 'PARENT_MISSING' END,
-    CASE WHEN level = 'article' AND (parent_provision_id IS NOT NULL OR provision_path <> provision_number) THEN 'ROOT_INVALID' END,
-    CASE WHEN (level = 'clause' AND plevel <> 'article') OR (level = 'point' AND plevel <> 'clause') THEN 'PARENT_LEVEL_INVALID' END,
-    CASE WHEN ppath IS NOT NULL AND provision_path <> concat_ws('.', ppath, provision_number) THEN 'PATH_INVALID' END], lambda x: x IS NOT NULL) AS codes FROM j)
-  SELECT * FROM c WHERE len(codes) > 0""")
-def tree_issues(spark, folder):
-    return structure.tree_issues(table(spark, folder, "silver_provisions"))
-
-
 @query(f"""WITH {P} SELECT a.provision_id, coalesce(c.provision_id, b.provision_id, a.provision_id) AS root_id, 1 + (b.provision_id IS NOT NULL)::INT + (c.provision_id IS NOT NULL)::INT AS depth
   FROM provisions a LEFT JOIN provisions b ON a.parent_provision_id = b.provision_id LEFT JOIN provisions c ON b.parent_provision_id = c.provision_id""")
 def tree_roots(spark, folder):
@@ -368,16 +335,6 @@ def effectivity_resolved(spark, folder):
     return structure.resolve_effectivity(table(spark, folder, "silver_provisions"), table(spark, folder, "silver_effectivity_rules"))
 
 
-@query(f"""WITH {P}, r AS (SELECT DISTINCT ON (rule_id) * FROM silver_effectivity_rules ORDER BY rule_id),
-  k AS (SELECT logical_doc_id, target_path, count(DISTINCT (mode, coalesce(effective_from::VARCHAR, ''), coalesce(effective_to::VARCHAR, ''), coalesce(trigger_reference, ''))) AS said FROM r GROUP BY ALL),
-  c AS (SELECT rule_id, list_filter([CASE WHEN target_path <> '*' AND NOT EXISTS (SELECT 1 FROM provisions p WHERE p.logical_doc_id = r.logical_doc_id AND p.provision_path = r.target_path) THEN 'TARGET_UNKNOWN' END,
-    CASE WHEN (mode = 'explicit_date' AND effective_from IS NULL) OR (mode = 'external_trigger' AND trigger_reference IS NULL) THEN 'FIELD_MISSING' END,
-    CASE WHEN (SELECT said FROM k WHERE k.logical_doc_id = r.logical_doc_id AND k.target_path = r.target_path) > 1 THEN 'RULES_CONFLICT' END], lambda x: x IS NOT NULL) AS codes FROM r)
-  SELECT * FROM c WHERE len(codes) > 0""")
-def rule_issues(spark, folder):
-    return structure.rule_issues(table(spark, folder, "silver_effectivity_rules"), table(spark, folder, "silver_provisions"))
-
-
 @query(f"""WITH {_PAGES} SELECT logical_doc_id, part_no, physical_page, coalesce(len(raw_text), 0)::INTEGER AS n,
   coalesce(sum(coalesce(len(raw_text), 0) + 2) OVER (PARTITION BY logical_doc_id ORDER BY part_no, physical_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS page_start FROM pages""")
 def page_offsets(spark, folder):
@@ -395,7 +352,7 @@ def article_headings(spark, folder):
 @query(f"""WITH {P}, {_PAGES} SELECT p.provision_id, g.global_page, greatest(p.start_global_page, g.global_page) AS from_, least(p.end_global_page + 1, g.global_page + 1) AS to_ FROM provisions p
   JOIN (SELECT DISTINCT logical_doc_id, global_page FROM pages) g ON p.logical_doc_id = g.logical_doc_id AND g.global_page + 1 > p.start_global_page AND g.global_page < p.end_global_page + 1""")
 def pages_of_provisions(spark, folder):
-    spans = _provisions(spark, folder).select("provision_id", "logical_doc_id", F.col("start_global_page").alias("span_start"), (F.col("end_global_page") + 1).alias("span_end"))
+    spans = _provisions(spark, folder, "provision_id", "logical_doc_id", "start_global_page", "end_global_page").select("provision_id", "logical_doc_id", F.col("start_global_page").alias("span_start"), (F.col("end_global_page") + 1).alias("span_end"))
     pages = table(spark, folder, "silver_pages").select("logical_doc_id", "global_page").distinct()
     pages = pages.select("logical_doc_id", "global_page", F.col("global_page").alias("page_start"), (F.col("global_page") + 1).alias("page_end"))
     return structure.overlap(spans, pages, "logical_doc_id").select("provision_id", "global_page", "from_", "to_")
@@ -434,16 +391,6 @@ def chunks_without_active_provision(spark, folder):
     return lake.orphans(table(spark, folder, "naive_q100").select("chunk_id", "provision_id"), active, ["provision_id"]).select("chunk_id").distinct()
 
 
-@query(f"""WITH {P}, a AS (SELECT article_id, min(title) AS article_title FROM provisions WHERE level = 'article' GROUP BY article_id),
-  f AS (SELECT physical_file_id, min(part_no) AS part_no, min(file_path) AS file_path FROM bronze_pdf_parts GROUP BY 1)
-  SELECT c.chunk_id, a.article_title, p.start_global_page, f.part_no, f.file_path FROM (SELECT DISTINCT chunk_id, article_id, provision_id FROM naive_q100) c
-  LEFT JOIN a USING (article_id) LEFT JOIN provisions p USING (provision_id) LEFT JOIN f ON p.start_physical_file_id = f.physical_file_id""")
-def chunk_lineage(spark, folder):
-    chunks = table(spark, folder, "naive_q100").select("chunk_id", "article_id", "provision_id").distinct()
-    joined = lake.lineage(chunks, table(spark, folder, "silver_provisions"), table(spark, folder, "bronze_pdf_parts"))
-    return joined.select("chunk_id", "article_title", "start_global_page", "part_no", "file_path")
-
-
 @query("SELECT DISTINCT rule_id, sha256(concat(coalesce(logical_doc_id, ''), chr(10), coalesce(target_path, ''), chr(10), coalesce(mode, ''), chr(10), coalesce(effective_from::VARCHAR, ''), chr(10), coalesce(effective_to::VARCHAR, ''), chr(10), coalesce(source_text, ''))) AS key FROM silver_effectivity_rules")
 def rule_keys(spark, folder):
     key = lake.rule_key("logical_doc_id", "target_path", "mode", "effective_from", "effective_to", "source_text")
@@ -456,52 +403,8 @@ def documents_only_once(spark, folder):
     return lake.same_keys(table(spark, folder, "silver_pages"), table(spark, folder, "naive_q100").filter("logical_doc_id is not null"), "logical_doc_id")
 
 
-@query("""WITH a AS (SELECT logical_doc_id, count(*) AS n_rules, max(effective_from) AS last_date FROM silver_effectivity_rules GROUP BY 1), b AS (SELECT logical_doc_id, count(*) AS n_rules, max(ingested_at)::DATE AS last_date FROM bronze_pdf_parts GROUP BY 1)
-  SELECT coalesce(a.logical_doc_id, b.logical_doc_id) AS logical_doc_id, coalesce(b.n_rules, a.n_rules) AS n_rules, coalesce(b.last_date, a.last_date) AS last_date FROM a FULL JOIN b USING (logical_doc_id)""")
-def split_merged(spark, folder):
-    a = table(spark, folder, "silver_effectivity_rules").groupBy("logical_doc_id").agg(F.count("*").alias("n_rules"), F.max("effective_from").alias("last_date"))
-    b = table(spark, folder, "bronze_pdf_parts").groupBy("logical_doc_id").agg(F.count("*").alias("n_rules"), F.to_date(F.max("ingested_at")).alias("last_date"))
-    return lake.merge_sets(a, b, "logical_doc_id", ["n_rules", "last_date"])
-
-
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 
-_EVAL = f"""{Q}, c AS (SELECT DISTINCT sample_id, rank_no, provision_id, logical_doc_id, text, effective_from, effective_to, score FROM naive_q100),
-  s AS (SELECT sample_id, list({{p: provision_id, f: effective_from, e: effective_to}}) AS chunks, list(DISTINCT provision_id) AS hits, list(DISTINCT logical_doc_id) FILTER (rank_no <= 3) AS predicted,
-    list(DISTINCT provision_id) FILTER (effective_to IS NULL) AS gold, list(DISTINCT logical_doc_id) FILTER (effective_to IS NULL) AS gold_docs, max(text) FILTER (rank_no = 1) AS evidence FROM c GROUP BY sample_id),
-  tok AS (SELECT s.*, q.t, list_distinct(regexp_extract_all(lower(q.question), {W})) AS own, list_distinct(regexp_extract_all(lower(evidence), {W})) AS ev FROM s JOIN questions q USING (sample_id)),
-  k AS (SELECT *, list_filter(chunks, lambda x: x.f IS NOT NULL) AS known FROM tok),
-  scored AS (SELECT sample_id, round(CASE WHEN len(gold) > 0 THEN len(list_intersect(gold, list_slice(hits, 1, 1000)))::DOUBLE / len(gold) END, 6) AS recall,
-    round(CASE WHEN len(known) > 0 THEN len(list_filter(known, lambda x: x.f <= t AND (x.e IS NULL OR t < x.e)))::DOUBLE / len(known) END, 6) AS validity, round(len(known)::DOUBLE / len(chunks), 6) AS coverage,
-    round(CASE WHEN len(gold_docs) > 0 AND len(predicted) > 0 THEN len(list_filter(predicted, lambda x: NOT list_contains(gold_docs, x)))::DOUBLE / len(predicted) END, 6) AS invalid, round(CASE WHEN len(own) = 0 THEN 0.0 ELSE len(list_filter(own, lambda x: list_contains(ev, x)))::DOUBLE / len(own) END, 6) AS faithful FROM k)"""
-
-
-def _scores(spark, folder):
-    """Scores with the unlimited chunks of a sample as its gold labels and its question in the place of an answer."""
-    rows = table(spark, folder, "naive_q100").select("sample_id", "rank_no", "provision_id", "logical_doc_id", "text", "effective_from", "effective_to", "score").distinct()
-    open_end = F.col("effective_to").isNull()
-    each = rows.groupBy("sample_id").agg(
-        F.collect_list(F.struct("effective_from", "effective_to")).alias("chunks"), F.collect_set("provision_id").alias("hits"),
-        F.collect_set(F.when(F.col("rank_no") <= 3, F.col("logical_doc_id"))).alias("predicted"), F.collect_set(F.when(open_end, F.col("provision_id"))).alias("gold"),
-        F.collect_set(F.when(open_end, F.col("logical_doc_id"))).alias("gold_docs"), F.max(F.when(F.col("rank_no") == 1, F.col("text"))).alias("evidence"),
-    ).join(_questions(spark, folder), "sample_id")
-    return each.select(
-        "sample_id", F.round(evaluation.recall(F.col("gold"), F.col("hits")), 6).alias("recall"), F.round(evaluation.temporal_validity(F.col("chunks"), F.col("t")), 6).alias("validity"),
-        F.round(evaluation.temporal_coverage(F.col("chunks")), 6).alias("coverage"), F.round(evaluation.invalid_citations(F.col("predicted"), F.col("gold_docs")), 6).alias("invalid"),
-        F.round(evaluation.faithfulness(F.col("question"), F.col("evidence")), 6).alias("faithful"),
-    )
-
-
-@query(f"WITH {_EVAL} SELECT * FROM scored")
-def retrieval_scores(spark, folder):
-    return _scores(spark, folder)
-
-
-@query(f"WITH {_EVAL} SELECT " + ", ".join(f"round(avg({m}), 4) AS {m}_mean, count({m}) AS {m}_judged" for m in ("recall", "validity", "coverage", "invalid", "faithful")) + " FROM scored")
-def score_summary(spark, folder):
-    return evaluation.summary(_scores(spark, folder), ["recall", "validity", "coverage", "invalid", "faithful"])
-
-
 @query("""WITH s AS (SELECT DISTINCT sample_id, latency_ms FROM naive_q100 WHERE latency_ms IS NOT NULL)
   SELECT round(avg(latency_ms), 1) AS mean_ms, min(latency_ms) AS least_ms, max(latency_ms) AS most_ms, count(*) AS n FROM s""")
 def answer_latency(spark, folder):
@@ -509,12 +412,6 @@ def answer_latency(spark, folder):
     return rows.agg(F.round(F.avg("latency_ms"), 1).alias("mean_ms"), F.min("latency_ms").alias("least_ms"), F.max("latency_ms").alias("most_ms"), F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT DISTINCT sample_id, question, rank_no, chunk_id, text FROM naive_q100 WHERE rank_no <= 5)
-  SELECT sample_id, 'Ngữ cảnh:' || chr(10) || string_agg('[' || chunk_id || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank_no, chunk_id, text) || chr(10) || chr(10) || 'Câu hỏi: ' || question AS prompt FROM c GROUP BY sample_id, question""")
-def answer_prompts(spark, folder):
-    return hooks.prompts(table(spark, folder, "naive_q100").select("sample_id", "question", "rank_no", "chunk_id", "text").distinct())
-
-
 @query("""SELECT DISTINCT sample_id, regexp_extract(text, '^([^.]*\\.?)', 1) || chr(10) || 'Nguồn: ' || logical_doc_id AS answer FROM naive_q100 WHERE rank_no = 1""")
 def extractive_answers(spark, folder):
     return hooks.extractive_answers(table(spark, folder, "naive_q100"))
@@ -522,7 +419,7 @@ def extractive_answers(spark, folder):
 
 @query("""WITH a AS (SELECT DISTINCT sample_id, regexp_extract(text, '^([^.]*\\.?)', 1) || chr(10) || 'Nguồn: ' || logical_doc_id AS answer FROM naive_q100 WHERE rank_no = 1),
   l AS (SELECT sample_id, unnest(string_split(answer, chr(10))) AS line FROM a)
-  SELECT DISTINCT sample_id, unnest(regexp_extract_all(upper(line), '[0-9]{1,5}/[0-9]{4}/[\\p{Lu}0-9]+(?:-[\\p{Lu}0-9]+)*')) AS cited FROM l WHERE regexp_matches(lower(line), '^\\s*(nguồn|nguon|sources?|citations?)\\s*:')""")
+  SELECT DISTINCT sample_id, unnest(regexp_extract_all(upper(line), '[0-9]+/[0-9]{4}/[A-ZĐ0-9]+(?:-[A-ZĐ0-9]+)*')) AS cited FROM l WHERE regexp_matches(lower(line), '(nguồn|nguon|sources?|citation)\\s*:')""")
 def answer_citations(spark, folder):
     answers = hooks.extractive_answers(table(spark, folder, "naive_q100"))
     return answers.select("sample_id", F.explode(text.cited_docs(F.col("answer"))).alias("cited"))
@@ -540,5 +437,3 @@ def events_by_type(spark, folder):
     return table(spark, folder, "events").groupBy("event_type").agg(
         F.count("*").alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("ts").alias("last_ts")
     )
-
-

@@ -18,7 +18,7 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The old rows without those whose key comes again, and the new ones."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new)
 
 
 def orphans(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:

@@ -55,7 +55,8 @@ def tree_issues(provisions: DataFrame) -> DataFrame:
 
     Rows that differ are told apart: an id or a document's path that several different rows have is an issue; exact copies of a row
     are one row."""
-    rows = provisions.select("provision_id", "logical_doc_id", "parent_provision_id", "level", "provision_path", "provision_number", "effectivity_mode").distinct()
+    mode = F.col("effectivity_mode") if "effectivity_mode" in provisions.columns else F.lit("unknown").alias("effectivity_mode")
+    rows = provisions.select("provision_id", "logical_doc_id", "parent_provision_id", "level", "provision_path", "provision_number", mode).distinct()
     ids = rows.groupBy("provision_id").agg(F.count("*").alias("same_id"))
     paths = rows.groupBy("logical_doc_id", "provision_path").agg(F.count("*").alias("same_path"))
     parent = rows.select(F.col("provision_id").alias("parent_id"), F.col("level").alias("parent_level"), F.col("provision_path").alias("parent_path"))
@@ -71,7 +72,10 @@ def tree_issues(provisions: DataFrame) -> DataFrame:
         F.when(~F.coalesce(level.isin("article", "clause", "point"), F.lit(False)), "LEVEL_UNKNOWN"),
         F.when(F.col("parent_provision_id").isNotNull() & F.col("parent_id").isNull(), "PARENT_MISSING"),
         F.when((level == "article") & (F.col("parent_id").isNotNull() | ~F.coalesce(F.col("provision_path") == F.col("provision_number"), F.lit(False))), "ROOT_INVALID"),
-        F.when((level == "clause") & (above != "article") | (level == "point") & (above != "clause"), "PARENT_LEVEL_INVALID"),
+        F.when(
+            (F.col("parent_provision_id").isNull() | F.col("parent_id").isNotNull()) & ((level == "clause") & (above != "article") | (level == "point") & (above != "clause")),
+            "PARENT_LEVEL_INVALID",
+        ),
         F.when(level.isin("clause", "point") & F.col("parent_id").isNotNull() & ~right_path, "PATH_INVALID"),
         F.when(~F.coalesce(F.col("effectivity_mode").isin("inherit", "explicit_date", "external_trigger", "unknown"), F.lit(False)), "MODE_UNKNOWN"),
     )

@@ -247,7 +247,7 @@ def _bad_tree(spark, folder):
 @query(f"""WITH {_BAD_TREE}, c AS (SELECT DISTINCT provision_id, logical_doc_id, provision_path, list_sort(list_filter([CASE WHEN same_id > 1 THEN 'ID_NOT_UNIQUE' END, CASE WHEN same_path > 1 THEN 'PATH_NOT_UNIQUE' END,
     CASE WHEN level NOT IN ('article', 'clause', 'point') THEN 'LEVEL_UNKNOWN' END, CASE WHEN parent_provision_id IS NOT NULL AND parent_id IS NULL THEN 'PARENT_MISSING' END,
     CASE WHEN level = 'article' AND (parent_id IS NOT NULL OR provision_path <> provision_number) THEN 'ROOT_INVALID' END,
-    CASE WHEN (level = 'clause' AND (parent_level IS NULL OR parent_level <> 'article')) OR (level = 'point' AND (parent_level IS NULL OR parent_level <> 'clause')) THEN 'PARENT_LEVEL_INVALID' END,
+    CASE WHEN (parent_provision_id IS NULL OR parent_id IS NOT NULL) AND ((level = 'clause' AND (parent_level IS NULL OR parent_level <> 'article')) OR (level = 'point' AND (parent_level IS NULL OR parent_level <> 'clause'))) THEN 'PARENT_LEVEL_INVALID' END,
     CASE WHEN level IN ('clause', 'point') AND parent_id IS NOT NULL AND provision_path <> parent_path || '.' || provision_number THEN 'PATH_INVALID' END,
     CASE WHEN effectivity_mode NOT IN ('inherit', 'explicit_date', 'external_trigger', 'unknown') THEN 'MODE_UNKNOWN' END], lambda x: x IS NOT NULL)) AS codes FROM j)
   SELECT * FROM c WHERE len(codes) > 0""")

@@ -333,6 +333,8 @@ def _emit(t: Fraction, load: float, told, share: int):
         buckets = np.uint64(len(table) - 1)
         for batch in _batches(batches):
             sets = Sets(batch)
+            if len(sets.no) and sets.no[-1] - sets.no[0] != len(sets.no) - 1:
+                raise RuntimeError("a task's sets must be numbered in a row")
             parity, words = sets.parities(bands)
             parity_start = np.cumsum(words) - words
             index, index_row, index_band = sets.index(bands)

@@ -9,9 +9,11 @@ threshold demands leaves at most |x| - o shingles of x out of y; each of them sp
   whatever part of a segment another set holds can be looked up.
 * Allocation: each set looks up only the |x| - o + 1 of its segments that cost least, by counts of all index entries in a table
   that grows with the entries up to a bound. It looks in the band of its own size and the next, which hold all sizes that can
-  reach the threshold.
+  reach the threshold. The larger y, the fewer segments x may spoil, so each look-up, the cheapest first, has a largest size of y
+  beyond which the cheaper ones do; the dearest only meet sets of hardly more than x's own size.
 * Signatures meet in parts, which are ranges of their hash within source and band, so that a set's entries go to few parts. A
-  part gets each set's parities once and, per entry, three bytes; sets are named by five bytes within their batch.
+  part gets each set's parities once and, per entry, three bytes, with one more for the size that a look-up reaches; sets are
+  named by five bytes within their batch.
 * Entries of too common signatures are salted: the index rows are dealt out, the look-ups sent to every share.
 * A match first passes an exact bound: the parities of many segments differ in no more places than the sets differ in shingles.
 * Every remaining pair is then verified by the shingle sets themselves.
@@ -133,6 +135,11 @@ def _sets(least: int, size: int):
     return run
 
 
+def reach(n: np.ndarray, spoiled: np.ndarray, t: Fraction) -> np.ndarray:
+    """The largest set that a set of n shingles can reach the threshold with if it lacks `spoiled` of them."""
+    return (n - spoiled) * (t.numerator + t.denominator) // t.numerator - n
+
+
 def needed(a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
     """Shingles that sets of sizes a and b must share to reach the threshold."""
     total = (np.asarray(a, np.int64) + np.asarray(b, np.int64)) * t.numerator
@@ -202,9 +209,11 @@ class Sets:
         rows = np.concatenate(rows)
         return mix(np.concatenate(signatures) ^ self.salt(band)[rows]), rows, band[rows]
 
-    def lookups(self, bands: Bands, counts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Signatures of each set's cheapest segments, as many as the pigeonhole needs, in its band and the next."""
-        signatures, rows, of = [], [], []
+    def lookups(self, bands: Bands, counts: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Signatures of each set's cheapest segments, as many as the pigeonhole needs, in its band and the next; their rows,
+        bands and the largest size of a set they are to find: the larger the other set, the fewer segments it may spoil, so the
+        dearest look-ups are for sets of hardly more than the own size."""
+        signatures, rows, of, largest = [], [], [], []
         own = bands.of(self.n)
         for step in (0, 1):
             band = own + step
@@ -223,6 +232,7 @@ class Sets:
             signatures.append(whole[chosen])
             rows.append(row[chosen])
             of.append(band[row[chosen]])
+            largest.append(reach(self.n[row[chosen]], rank[chosen], t))
             found = np.bincount(row, minlength=len(self.n))
             few = asking & (found <= spare)
             if few.any():  # fewer segments than the pigeonhole needs: any shingle in common will do
@@ -231,9 +241,10 @@ class Sets:
                 signatures.append(mix(mix(self.shingles[keep] + _B) ^ self.salt(band)[who]))
                 rows.append(who)
                 of.append(band[who])
+                largest.append(reach(self.n[who], found[who], t))
         if not signatures:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(signatures), np.concatenate(rows), np.concatenate(of)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(signatures), np.concatenate(rows), np.concatenate(of), np.concatenate(largest)
 
     def parities(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
         """All sets' bits in 64-bit words, and each set's number of words: the parity of its shingles in each segment of the
@@ -250,11 +261,13 @@ class Sets:
 def apart(flat: np.ndarray, start: np.ndarray, words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """In how many segments the parities of sets x and y differ; the longer bits are folded to the length of the shorter."""
     out = np.zeros(len(x), np.int64)
-    for wx, wy in np.unique(np.stack([words[x], words[y]], axis=1), axis=0) if len(x) else ():
-        own = np.flatnonzero((words[x] == wx) & (words[y] == wy))
-        low = int(min(wx, wy))
+    both = words[x] << 32 | words[y]
+    for code in np.unique(both):
+        own = np.flatnonzero(both == code)
+        wx, wy = int(code) >> 32, int(code) & 0xFFFFFFFF
+        low = min(wx, wy)
         folded = np.zeros((len(own), low), np.uint64)
-        for who, w in ((x[own], int(wx)), (y[own], int(wy))):
+        for who, w in ((x[own], wx), (y[own], wy)):
             for fold in range(0, w, low):
                 folded ^= flat[start[who][:, None] + np.arange(fold, fold + low)]
         out[own] = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
@@ -338,18 +351,19 @@ def _emit(t: Fraction, load: float, told, share: int):
             parity, words = sets.parities(bands)
             parity_start = np.cumsum(words) - words
             index, index_row, index_band = sets.index(bands)
-            ask, ask_row, ask_band = sets.lookups(bands, table, t)
+            ask, ask_row, ask_band, ask_reach = sets.lookups(bands, table, t)
             shares = np.maximum(1, -(-table[index & buckets].astype(np.int64) // share)).astype(np.uint64)
             index_salt = mix(sets.no[index_row].view(np.uint64) + _A) % shares
             shares = np.maximum(1, -(-table[ask & buckets].astype(np.int64) // share))
-            ask, ask_row, ask_band = (np.repeat(a, shares) for a in (ask, ask_row, ask_band))
+            ask, ask_row, ask_band, ask_reach = (np.repeat(a, shares) for a in (ask, ask_row, ask_band, ask_reach))
             ask_salt = (np.arange(len(ask)) - np.repeat(np.cumsum(shares) - shares, shares)).astype(np.uint64)
             row = np.concatenate([index_row, ask_row])
             asks = np.r_[np.zeros(len(index), np.int64), np.ones(len(ask), np.int64)]
             spot = mix(np.concatenate([index, ask]) + np.concatenate([index_salt, ask_salt]) * _A)
             part = parts.of(sets.source[row], np.concatenate([index_band, ask_band]), spot)
             order = np.lexsort((asks, row, part))
-            spot, part, row, asks = spot[order], part[order], row[order], asks[order]
+            steps = np.r_[np.zeros(len(index), np.uint8), steps_up(sets.n[ask_row], ask_reach, t)]
+            spot, part, row, asks, steps = spot[order], part[order], row[order], asks[order], steps[order]
             short = spot.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]
             # Runs of a set's index entries and of its look-ups in a part, cut where a head can count no further.
             group = (part * len(sets.n) + row) * 2 + asks
@@ -362,7 +376,8 @@ def _emit(t: Fraction, load: float, told, share: int):
             heads["many"] = np.diff(np.r_[first, len(group)]) | asks[first] << 7
             fresh = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (who[1:] != who[:-1])]) if len(who) else np.zeros(0, np.int64)
             numbers = np.unique(own)
-            bounds = [(np.searchsorted(a, numbers, "left").tolist(), np.searchsorted(a, numbers, "right").tolist()) for a in (own, own[fresh], part)]
+            asked, steps = part[asks == 1], steps[asks == 1]
+            bounds = [(np.searchsorted(a, numbers, "left").tolist(), np.searchsorted(a, numbers, "right").tolist()) for a in (own, own[fresh], part, asked)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(numbers.astype(np.int32)),
@@ -372,8 +387,9 @@ def _emit(t: Fraction, load: float, told, share: int):
                     pa.array([(n := sets.n[who[fresh[a:b]]])[n >= 0xFFFF].astype("<u4").tobytes() for a, b in zip(*bounds[1])], pa.binary()),
                     pa.array([_gather(parity, parity_start, words, who[fresh[a:b]]).tobytes() for a, b in zip(*bounds[1])], pa.binary()),
                     pa.array([short[a:b].tobytes() for a, b in zip(*bounds[2])], pa.binary()),
+                    pa.array([steps[a:b].tobytes() for a, b in zip(*bounds[3])], pa.binary()),
                 ],
-                names=["part", "base", "heads", "large", "parities", "signatures"],
+                names=["part", "base", "heads", "large", "parities", "signatures", "steps"],
             )
 
     return run
@@ -382,7 +398,20 @@ def _emit(t: Fraction, load: float, told, share: int):
 #: Of a set in a part: its row in the batch, its size, and how many entries follow (127 at most; the high bit marks look-ups).
 _HEAD = np.dtype([("row", "<u2"), ("n", "<u2"), ("many", "u1")])
 MOST = 127
-_EMITTED = "part int, base long, heads binary, large binary, parities binary, signatures binary"
+_EMITTED = "part int, base long, heads binary, large binary, parities binary, signatures binary, steps binary"
+
+
+#: Steps from a set's own size to the largest that the threshold allows, and the size up to which an index is in its order.
+STEPS, MOST_SIZE = 255, (1 << 20) - 1
+
+
+def steps_up(n: np.ndarray, largest: np.ndarray, t: Fraction) -> np.ndarray:
+    """A byte from which size_up makes `largest` again, or a little more."""
+    return (-((n - largest) * (STEPS * t.numerator) // (n * max(1, t.denominator - t.numerator)))).astype(np.uint8)
+
+
+def size_up(n: np.ndarray, steps: np.ndarray, t: Fraction) -> np.ndarray:
+    return n + steps * (n * (t.denominator - t.numerator)) // (STEPS * t.numerator)
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -393,9 +422,9 @@ def _gather(flat: np.ndarray, start: np.ndarray, lengths: np.ndarray, rows: np.n
 
 def _match(t: Fraction, load: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, sizes, parts, bits, rows, asking, signatures, sets = [], [], [], [], [], [], [], 0
+        numbers, sizes, parts, bits, rows, asking, signatures, steps, sets = [], [], [], [], [], [], [], [], 0
         for batch in batches:
-            for part, base, head, large, parity, raw in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for part, base, head, large, parity, raw, up in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 own = np.frombuffer(head, _HEAD)
                 fresh = np.r_[True, own["row"][1:] != own["row"][:-1]]
                 many = (own["many"] & MOST).astype(np.int64)
@@ -411,23 +440,31 @@ def _match(t: Fraction, load: float):
                 wide = np.zeros((len(raw) // SHORT, 4), np.uint8)
                 wide[:, :SHORT] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
                 signatures.append(wide.view("<u4").ravel())
+                steps.append(np.frombuffer(up, np.uint8))
                 sets += len(first)
         if not sets:
             return
-        no, n, part, flat, parity, row, asks = (np.concatenate(a) for a in (numbers, sizes, parts, signatures, bits, rows, asking))
+        no, n, part, flat, parity, row, asks, steps = (np.concatenate(a) for a in (numbers, sizes, parts, signatures, bits, rows, asking, steps))
         del numbers, sizes, parts, signatures, bits, rows, asking
         bands = Bands(t, load)
         words = bands.words[bands.of(n)]
         parity_start = np.cumsum(words) - words
-        # One signature space for each part, should one task hold several.
-        key = (part.astype(np.int64) << 32) | flat
-        index_key, index_row = key[~asks], row[~asks]
-        order = np.argsort(index_key, kind="stable")
+        # One signature space for each part, should one task hold several; entries of a signature in order of their sets' sizes.
+        size = np.minimum(n, MOST_SIZE).astype(np.int64)
+        key = (part.astype(np.int64) << 24 | flat) << 20
+        index_row = row[~asks]
+        index_key = key[~asks] | size[index_row]
+        order = np.argsort(index_key)
         index_key, index_row = index_key[order], index_row[order]
         ask_key, ask_row = key[asks], row[asks]
         del key, row, asks, flat, part
-        low = np.searchsorted(index_key, ask_key, side="left")
-        many = np.searchsorted(index_key, ask_key, side="right") - low
+        # Look-ups in the order of the index find it in the processor's cache.
+        order = np.argsort(ask_key)
+        ask_key, ask_row = ask_key[order], ask_row[order]
+        largest = np.minimum(size_up(n[ask_row].astype(np.int64), steps[order].astype(np.int64), t), MOST_SIZE)
+        low = np.searchsorted(index_key, ask_key | size[ask_row], side="left")
+        many = np.searchsorted(index_key, ask_key | largest, side="right") - low
+        del ask_key, index_key, largest
         keep = many > 0
         low, many, ask_row = low[keep], many[keep], ask_row[keep]
         total = np.cumsum(many)

@@ -282,6 +282,57 @@ def test_bytes_on_the_way_are_bounded_whatever_the_number_of_parts():
     assert few[1] < 1.5 and many[1] <= most[1] <= few[0] / near.SHORT * entry
 
 
+def matched(sets, monkeypatch, load=near.LOAD):
+    """The pairs that the look-up of one part finds, and how many it had to look at."""
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(sets)), pa.array(range(len(sets))), pa.array([near.packed(s) for s in sets], pa.binary())], names=["source", "no", "shingles"])
+    index, _, band = near.Sets(batch).index(near.Bands(near.THRESHOLD, load))
+
+    class Told:
+        value = np.bincount((index & np.uint64((1 << 16) - 1)).astype(np.int64), minlength=1 << 16).astype(np.uint32), near.Parts({0: 1}, 1)
+
+    looked, apart = [0], near.apart
+
+    def counting(flat, start, words, x, y):
+        looked[0] += len(x)
+        return apart(flat, start, words, x, y)
+
+    monkeypatch.setattr(near, "apart", counting)
+    sent = list(near._emit(near.THRESHOLD, load, Told, near.SHARE)(iter([batch])))
+    pairs = [(x, y) for out in near._match(near.THRESHOLD, load)(iter(sent)) for x, y in zip(*(out.column(i).to_pylist() for i in range(2)))]
+    return pairs, looked[0]
+
+
+def phrase_sets(many: int, seed: int = 3):
+    """Sets of 70 to 150 shingles, nearly all of a few phrases, and for every tenth a near copy of another size."""
+    rng = np.random.default_rng(seed)
+    common = rng.integers(0, 1 << 48, (60, 15), dtype=np.uint64)
+    sets: list[np.ndarray] = []
+    for i in range(many):
+        n = int(rng.integers(70, 151))
+        own = np.unique(np.r_[common[rng.choice(60, 10, replace=False)].ravel()[: n - 8], rng.integers(0, 1 << 48, 8, dtype=np.uint64)])
+        sets.append(own)
+        if i % 10 == 0:
+            sets.append(rng.choice(own, int(len(own) * rng.uniform(0.6, 1.0)), replace=False))
+    return [np.unique(s) for s in sets]
+
+
+def test_a_look_up_meets_only_sizes_that_still_need_it(monkeypatch):
+    sets = phrase_sets(1_000)
+    pairs, looked = matched(sets, monkeypatch)
+    held = {frozenset(p) for p in pairs}
+    owners: dict = {}
+    for i, s in enumerate(sets):
+        for x in s.tolist():
+            owners.setdefault(x, []).append(i)
+    shared: dict = {}
+    for who in owners.values():
+        for p in combinations(who, 2):
+            shared[p] = shared.get(p, 0) + 1
+    true = {frozenset((i, j)) for (i, j), k in shared.items() if 5 * k >= 3 * (len(sets[i]) + len(sets[j]) - k)}
+    assert len(true) >= 50 and true <= held
+    assert looked < 100_000
+
+
 def test_no_texts_no_pairs(spark):
     df = spark.createDataFrame([], "source int, id string, text string")
     assert near.id_pairs(*near.similar_texts(df)).count() == 0

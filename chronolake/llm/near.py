@@ -261,16 +261,22 @@ class Sets:
 def apart(flat: np.ndarray, start: np.ndarray, words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """In how many segments the parities of sets x and y differ; the longer bits are folded to the length of the shorter."""
     out = np.zeros(len(x), np.int64)
+    # All lengths are multiples of three words, and rows of three are fetched several times as fast as single words.
+    rows, start = flat.reshape(-1, 3), start // 3
     both = words[x] << 32 | words[y]
-    for code in np.unique(both):
-        own = np.flatnonzero(both == code)
+    codes = np.unique(both)
+    for code in codes:
+        own = np.flatnonzero(both == code) if len(codes) > 1 else slice(None)
         wx, wy = int(code) >> 32, int(code) & 0xFFFFFFFF
-        low = min(wx, wy)
-        folded = np.zeros((len(own), low), np.uint64)
-        for who, w in ((x[own], wx), (y[own], wy)):
-            for fold in range(0, w, low):
-                folded ^= flat[start[who][:, None] + np.arange(fold, fold + low)]
-        out[own] = np.bitwise_count(folded).sum(axis=1, dtype=np.int64)
+        low = min(wx, wy) // 3
+        sides = [(start[who[own]], w // 3) for who, w in ((x, wx), (y, wy))]
+        for piece in range(low):
+            folded = np.zeros((1, 3), np.uint64)
+            for first, w in sides:
+                for fold in range(piece, w, low):
+                    folded = folded ^ rows.take(first + fold, axis=0)
+            bits = np.bitwise_count(folded)
+            out[own] += bits[:, 0] + bits[:, 1] + bits[:, 2]
     return out
 
 
@@ -483,11 +489,11 @@ def _match(t: Fraction, load: float):
                     m = many[at:to]
                     x = np.repeat(ask_row[at:to], m)
                     y = index_row[np.arange(len(x)) + np.repeat(low[at:to] - (np.cumsum(m) - m), m)]
-                nx, ny = n[x], n[y]
+                nx, ny = n[x].astype(np.int64), n[y].astype(np.int64)
                 ok = (nx < ny) | ((nx == ny) & (no[x] < no[y]))
-                ok &= nx.astype(np.int64) * t.denominator >= ny.astype(np.int64) * t.numerator
-                x, y = x[ok], y[ok]
-                ok = apart(parity, parity_start, words, x, y) <= n[x].astype(np.int64) + n[y] - 2 * needed(n[x], n[y], t)
+                ok &= nx * t.denominator >= ny * t.numerator
+                x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
+                ok = apart(parity, parity_start, words, x, y) <= nx + ny - 2 * needed(nx, ny, t)
                 if ok.any():
                     found.append(np.unique((x[ok].astype(np.int64) << 32) | y[ok].astype(np.int64)))
             if len(found) > 64:

@@ -353,6 +353,20 @@ def test_parities_never_exceed_the_difference():
         assert d <= len(np.setxor1d(sets[i], sets[j]))
 
 
+def test_parities_of_different_lengths_are_folded():
+    r = np.random.default_rng(4)
+    words = r.choice([3, 6, 12], 40)
+    start = np.cumsum(words) - words
+    flat = r.integers(0, 1 << 63, int(words.sum()), dtype=np.uint64)
+    x, y = map(np.array, zip(*combinations(range(40), 2)))
+    expected = []
+    for i, j in zip(x, y):
+        low = min(words[i], words[j])
+        both = [np.bitwise_xor.reduce(flat[start[k] : start[k] + words[k]].reshape(-1, low), axis=0) for k in (i, j)]
+        expected.append(int(np.bitwise_count(both[0] ^ both[1]).sum()))
+    assert near.apart(flat, start, words, x, y).tolist() == expected
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------------------
 
 

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import types
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,6 +423,59 @@ def test_temporal_ranking_equals_brute_force(spark, monkeypatch, block):
     assert ranking.temporal(df, asked, 0, told).count() == 0 and ranking.temporal(df.limit(0), asked, 3, told).count() == 0
 
 
+def _phrase_texts(r, n, most):
+    """Texts whose words are more and less common."""
+    vocabulary = [f"w{i}" for i in range(60)]
+    return [" ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=r.randint(0, most))) for _ in range(n)]
+
+
+def test_few_texts_are_scored_and_none_is_missed(spark, monkeypatch):
+    r = random.Random(5)
+    day = lambda: r.randint(0, 400)
+    texts = [(f"t{i:04}", w, day(), r.choice([None, day(), day()])) for i, w in enumerate(_phrase_texts(r, 3000, 40))]
+    asked = [(f"q{i:02}", w + " w40 w50", day()) for i, w in enumerate(_phrase_texts(r, 40, 9))]
+    # in one process, to see what is scored
+    far = ranking.NEVER
+    batch = pa.table({
+        "id": [x[0] for x in texts], "group": [x[0] for x in texts], "doc": pa.nulls(3000, pa.string()), "text": [x[1] for x in texts], "issued": pa.array([far] * 3000, pa.int32()),
+        "start": pa.array([x[2] for x in texts], pa.int32()), "end": pa.array([far if x[3] is None else x[3] for x in texts], pa.int32()), "stated": pa.nulls(3000),
+    }).to_batches()
+    block = ranking._block([{"sample_id": s, "question": q, "day": t, "by_issue": False, "docs": None, "effect": False} for s, q, t in asked], True, False)
+    told = types.SimpleNamespace(value=block)
+    coded = list(ranking._code(told, 1000, True)(iter(batch)))
+    ranking._weigh(block, [x for b in ranking._count(told, 1000)(iter(coded)) for x in b.to_pylist()])
+    low: dict = {}
+    for b in ranking._floors(told, 3, 1.0, 1000, 1)(iter(coded)):
+        for x in b.to_pylist():
+            low.setdefault(x["q"], []).append(x["score"])
+    for q, found in low.items():
+        block.floor[q] = sorted(found)[-3] - ranking.SLACK if len(found) >= 3 else 0.0
+    scored, exact = [], ranking._exact
+    monkeypatch.setattr(ranking, "_exact", lambda texts, rows, *rest: (scored.append(len(rows)), exact(texts, rows, *rest))[1])
+    found = [x for b in ranking._score(told, 3, 1.0, 1000)(iter(coded)) for x in b.to_pylist()]
+    assert 0 < sum(scored) < 0.02 * len(texts) * len(asked)
+    # by hand
+    want = {}
+    for s, q, t in asked:
+        fit = {i: w.split() for i, w, a, z in texts if a <= t and (z is None or z > t)}
+        mean = max(sum(map(len, fit.values())) / len(fit), 1.0)
+        idf = {x: math.log(1 + (len(fit) - n + 0.5) / (n + 0.5)) for x in set(q.split()) for n in [sum(x in w for w in fit.values())]}
+        score = {i: round(sum(idf[x] * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for x in q.split()), 6) for i, w in fit.items()}
+        want[s] = sorted(((-v, i) for i, v in score.items() if v > 0))[:3]
+    got: dict = {}
+    for x in found:
+        got.setdefault(x["sample_id"], []).append((-x["score"], x["id"]))
+    assert all([i for _, i in sorted(got[s])[:3]] == [i for _, i in want[s]] and all(abs(a - b) < 2e-6 for (a, _), (b, _) in zip(sorted(got[s]), want[s])) for s in want)
+    # and in Spark, over several tasks
+    start = lambda n: D(2020, 1, 1) + datetime.timedelta(n)
+    rows = spark.createDataFrame([(i, w, start(a), z if z is None else start(z)) for i, w, a, z in texts], "id string, text string, effective_from date, effective_to date").repartition(5)
+    questions = spark.createDataFrame([(s, q, start(t)) for s, q, t in asked], "sample_id string, question string, t date")
+    got = {}
+    for x in retrieval.asof_bm25(rows, questions, 3, "id").orderBy("sample_id", "rank_no").collect():
+        got.setdefault(x["sample_id"], []).append(x["id"])
+    assert got == {s: [i for _, i in found] for s, found in want.items()}
+
+
 def test_a_rule_without_scope_is_refused(spark):
     told = spark.createDataFrame([("1/2020/QH14", None, None, "", D(2020, 3, 1))], "target_logical_doc_id string, target_chunk_id string, target_provision_id string, target_provision_path string, effective_to date")
     with pytest.raises(Exception, match="supersession rule"):

@@ -43,6 +43,11 @@ def asof_bm25(texts: DataFrame, queries: DataFrame, k: int, id_column: str) -> D
     return rank(texts.withColumnRenamed(id_column, "id"), queries, k, least_mean=1.0).withColumnRenamed("id", id_column)
 
 
+def phrases(texts: DataFrame, queries: DataFrame, k: int, id_column: str) -> DataFrame:
+    """sample_id, id, score, rank_no of the k best texts by phrase_bonus, without the pairs of questions and texts in between."""
+    return rank(texts.withColumnRenamed(id_column, "id"), queries, k, dated=False, words=False, phrases=True).withColumnRenamed("id", id_column)
+
+
 def phrase_counts(texts: DataFrame, id_column: str, n: int) -> DataFrame:
     """In how many texts each n-gram stands."""
     return _phrases(texts, id_column, "text", n).groupBy("phrase").agg(F.count("*").alias("df"))

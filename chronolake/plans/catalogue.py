@@ -212,8 +212,7 @@ def asof_bm25_topk(spark, folder):
   s AS (SELECT sample_id, provision_id, round(sum(CASE WHEN k = 2 THEN 1.0::DOUBLE ELSE 1.4::DOUBLE END * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))), 6) AS score FROM qg JOIN pg USING (k, phrase) JOIN df USING (k, phrase), n GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, provision_id)::INTEGER AS rank_no FROM s WHERE score > 0) SELECT * FROM r WHERE rank_no <= 5""")
 def phrase_topk(spark, folder):
-    found = retrieval.phrase_bonus(_texts(spark, folder), _questions(spark, folder), "provision_id")
-    return retrieval.top(found.select("sample_id", "provision_id", F.round("bonus", 6).alias("score")), 5, "provision_id")
+    return retrieval.phrases(_texts(spark, folder), _questions(spark, folder), 5, "provision_id")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, coalesce(provision_id, chunk_id) ORDER BY score DESC, chunk_id) AS place

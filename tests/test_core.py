@@ -476,6 +476,17 @@ def test_few_texts_are_scored_and_none_is_missed(spark, monkeypatch):
     assert got == {s: [i for _, i in found] for s, found in want.items()}
 
 
+def test_phrases_rank_without_pairs_of_questions_and_texts(spark, folder):
+    r = random.Random(6)
+    # every question and every third text has the same phrase
+    texts = spark.createDataFrame([(f"t{i:03}", w + " common phrase here" * (i % 3 == 0)) for i, w in enumerate(_phrase_texts(r, 300, 30))] + [("null", None)], "id string, text string")
+    asked = spark.createDataFrame([(f"q{i:02}", w + " common phrase here common phrase") for i, w in enumerate(_phrase_texts(r, 30, 12))] + [("short", "w1"), ("null", None)], "sample_id string, question string")
+    pairs = retrieval.phrase_bonus(texts, asked, "id").select("sample_id", "id", F.round("bonus", 6).alias("score"))
+    assert rows(retrieval.phrases(texts.repartition(3), asked.withColumn("t", F.lit(None).cast("date")), 4, "id")) == rows(retrieval.top(pairs, 4, "id"))
+    plan = catalogue.QUERIES["phrase_topk"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_a_rule_without_scope_is_refused(spark):
     told = spark.createDataFrame([("1/2020/QH14", None, None, "", D(2020, 3, 1))], "target_logical_doc_id string, target_chunk_id string, target_provision_id string, target_provision_path string, effective_to date")
     with pytest.raises(Exception, match="supersession rule"):

@@ -63,6 +63,10 @@ ALWAYS, NEVER = -(1 << 30), 1 << 30
 WORD, PHRASE, FIXED = 0, 1, 2
 
 
+def _code_type(block: Block) -> type:
+    return np.uint16 if len(block.kinds) <= 1 << 16 else np.int32
+
+
 @dataclass
 class Block:
     """Some questions. A column is a word, a phrase, a document or a date; an entry is a column of a question."""
@@ -174,10 +178,11 @@ def _code(told, texts: int, words: bool):
                 more += [i * kinds + c for i, stated in enumerate(batch.column(7).to_pylist()) for d in set(stated or ()) if (c := block.days.get(d)) is not None]
             once = row[w >= 0] * kinds + w[w >= 0] if words else row[:0]
             rows, columns = np.divmod(np.sort(np.concatenate([once, phrases, np.array(more, np.int64)])), kinds)
-            ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(lengths)))] * 4
-            codes = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(columns.astype(np.int32).tobytes())])
+            ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=len(lengths)))] * np.dtype(_code_type(block)).itemsize
+            codes = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(columns.astype(_code_type(block)).tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(4), batch.column(5), batch.column(6), pa.array(lengths.astype(np.int32)), codes], names=["id", "group", "issued", "start", "end", "words", "codes"]
+                [*(batch.column(i) for i in (0, 1, 4, 5, 6)), pa.array(lengths.astype(np.int32)), codes, *batch.columns[8:]],
+                names=["id", "group", "issued", "start", "end", "words", "codes", *batch.schema.names[8:]],
             )
 
     return run
@@ -212,8 +217,8 @@ class _Texts:
         self.table = table
         self.issued, self.start, self.end, self.length = (table.column(c).to_numpy().astype(np.int64) for c in ("issued", "start", "end", "words"))
         parts = table.column("codes").to_pylist()
-        codes = np.frombuffer(b"".join(parts), np.int32)
-        keys = np.repeat(np.arange(len(parts)), [len(x) // 4 for x in parts]) * len(block.kinds) + codes
+        codes = np.frombuffer(b"".join(parts), _code_type(block))
+        keys = np.repeat(np.arange(len(parts)), [len(x) // codes.itemsize for x in parts]) * len(block.kinds) + codes
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
         self.row, self.column = np.divmod(keys[new], max(len(block.kinds), 1))
         self.times = np.diff(np.r_[new, len(keys)])
@@ -477,13 +482,13 @@ def _kept(found: list[tuple], k: int) -> list[tuple]:
 
 def rank(
     texts: DataFrame, questions: DataFrame, k: int, *, dated: bool = True, words: bool = True, phrases: bool = False, boosts: bool = False,
-    one_per: str | None = None, least_mean: float = 0.0, block: int = BLOCK,
+    one_per: str | None = None, least_mean: float = 0.0, block: int = BLOCK, keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """sample_id, id, score, rank_no of the k best texts for each question.
 
     texts: id, text and, if dated, effective_from, effective_to (and issued_date, logical_doc_id). questions: sample_id, question
     and, if dated, t and basis (issued, status: texts issued by t; else texts in force at t). one_per: a column of which each value
-    takes one place only. words, phrases: what counts."""
+    takes one place only. words, phrases: what counts. keep: columns of the texts that the result has too; then ids must be distinct."""
     spark = texts.sparkSession
     day = lambda c: F.unix_date(F.col(c))
     has = set(texts.columns)
@@ -497,6 +502,7 @@ def rank(
         (F.coalesce(day("effective_from"), F.lit(NEVER)) if dated else F.lit(ALWAYS)).cast("int").alias("start"),
         (F.coalesce(day("effective_to"), F.lit(NEVER)) if dated else F.lit(NEVER)).cast("int").alias("end"),
         (F.transform(mentioned_dates(F.col("text")), F.unix_date) if boosts else F.lit(None).cast("array<int>")).alias("stated"),
+        *(F.col(c).alias(f"kept_{c}") for c in keep),
     )
     asked = questions.select(
         "sample_id", "question",
@@ -505,23 +511,27 @@ def rank(
         (named_docs(F.col("question")) if boosts else F.lit(None).cast("array<string>")).alias("docs"),
         (F.lower("question").rlike(ASKS_EFFECT) if boosts else F.lit(False)).alias("effect"),
     )
-    out, context, size = None, spark.sparkContext, TEXTS
+    out, first, context, size = None, None, spark.sparkContext, TEXTS
+    form = ", ".join([_CODED, *(f"kept_{c} {ready.schema[f'kept_{c}'].dataType.simpleString()}" for c in keep)])
     for part in blocks(asked.distinct(), "sample_id", block) if k > 0 else ():
         made = _block(part, words, phrases)
         if not len(made.kinds):
             continue
-        coded = cut(ready.mapInArrow(_code(context.broadcast(made), size, words), _CODED))
+        coded = cut(ready.mapInArrow(_code(context.broadcast(made), size, words), form))
+        first = coded if first is None else first
+        coded = coded.drop(*(f"kept_{c}" for c in keep))
         counted = coded.mapInArrow(_count(context.broadcast(made), size), "part int, counts binary").groupBy("part").applyInArrow(_summed, "part int, counts binary")
         _weigh(made, counted.collect())
         _raise(made, coded, k, least_mean, size)
         found = coded.mapInArrow(_score(context.broadcast(made), k, least_mean, size), "sample_id string, id string, group string, score double")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return spark.createDataFrame([], "sample_id string, id string, score double, rank_no int")
+        return spark.createDataFrame([], ", ".join(["sample_id string, id string, score double, rank_no int", *(f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep)]))
     order = [F.desc("score"), F.asc_nulls_last("id")]
     best = out.withColumn("_n", F.row_number().over(Window.partitionBy("sample_id", "group").orderBy(*order))).filter("_n = 1")
     ranked = best.withColumn("rank_no", F.row_number().over(Window.partitionBy("sample_id").orderBy(*order)))
-    return ranked.filter(F.col("rank_no") <= k).select("sample_id", "id", "score", "rank_no")
+    ranked = ranked.filter(F.col("rank_no") <= k).select("sample_id", "id", "score", "rank_no")
+    return ranked.join(first.select("id", *(F.col(f"kept_{c}").alias(c) for c in keep)), "id") if keep else ranked
 
 
 # --- the temporal retriever -----------------------------------------------------------------------------------------------
@@ -543,21 +553,18 @@ def superseding(rules: DataFrame) -> DataFrame:
 def ends_brought_forward(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """The chunks with effective_to as the rules that fit them bring it forward: same document, and every scope told agrees.
 
-    Rules meet chunks by document and by the first scope they tell, one join for each of the three, so that a document with many
-    chunks and many rules is no hot key; ends are made one per chunk before they come back."""
+    Rules meet chunks by document and by the first scope they tell, so that a document with many chunks and many rules is no hot key;
+    each chunk goes into the join once for each scope, so that the chunks are made once for all three. Ends are made one per chunk
+    before they come back."""
     known = superseding(rules)
+    first = F.coalesce(*(F.when(F.col(f"target_{c}").isNotNull(), F.struct(F.lit(at).alias("at"), F.col(f"target_{c}").alias("told"))) for at, c in enumerate(SCOPES)))
+    known = known.withColumn("first", first).select("*", "first.at", "first.told").drop("first")
     ids = chunks.select("chunk_id", "logical_doc_id", "provision_id", "provision_path").distinct()
-    found = None
-    for at, scope in enumerate(SCOPES):
-        earlier = F.lit(True)
-        for c in SCOPES[:at]:
-            earlier = earlier & F.col(f"target_{c}").isNull()
-        own = known.filter(earlier & F.col(f"target_{scope}").isNotNull())
-        met = ids.join(own, (F.col("logical_doc_id") == F.col("target_logical_doc_id")) & (F.col(scope) == F.col(f"target_{scope}")))
-        for c in SCOPES[at + 1 :]:
-            met = met.filter(F.col(f"target_{c}").isNull() | F.coalesce(F.col(f"target_{c}") == F.col(c), F.lit(False)))
-        met = met.select("chunk_id", "rule_end")
-        found = met if found is None else found.unionByName(met)
+    each = ids.select("*", F.explode(F.array(*(F.struct(F.lit(at).alias("at"), F.col(c).alias("told")) for at, c in enumerate(SCOPES)))).alias("one"))
+    each = each.select("*", F.col("one.at").alias("own_at"), F.col("one.told").alias("own")).drop("one").filter("own is not null")
+    found = each.join(known, (F.col("logical_doc_id") == F.col("target_logical_doc_id")) & (F.col("own_at") == F.col("at")) & (F.col("own") == F.col("told")))
+    for c in SCOPES[1:]:
+        found = found.filter(F.col(f"target_{c}").isNull() | F.coalesce(F.col(f"target_{c}") == F.col(c), F.lit(False)))
     ends = found.groupBy("chunk_id").agg(F.min("rule_end").alias("rule_end"))
     return chunks.join(ends, "chunk_id", "left").withColumn("effective_to", F.least("effective_to", "rule_end")).drop("rule_end")
 
@@ -570,9 +577,9 @@ def temporal(chunks: DataFrame, questions: DataFrame, k: int = 5, rules: DataFra
     provision_id, score, date_basis, effective_from, effective_to and whether the chunk was in force at t (NULL: unknown)."""
     asked = questions if "basis" in questions.columns else questions.withColumn("basis", date_basis(F.col("question")))
     closed = ends_brought_forward(chunks, rules) if rules is not None else chunks
-    ranked = rank(closed.withColumnRenamed("chunk_id", "id"), asked, k, phrases=True, boosts=True, one_per="provision_id", least_mean=1.0)
-    about = closed.select(F.col("chunk_id").alias("id"), "logical_doc_id", "provision_id", "provision_path", "issued_date", "effective_from", "effective_to")
-    joined = ranked.join(about, "id").join(asked.select("sample_id", "t", F.col("basis").alias("date_basis")), "sample_id")
+    about = ("logical_doc_id", "provision_id", "provision_path", "issued_date", "effective_from", "effective_to")
+    ranked = rank(closed.withColumnRenamed("chunk_id", "id"), asked, k, phrases=True, boosts=True, one_per="provision_id", least_mean=1.0, keep=about)
+    joined = ranked.join(asked.select("sample_id", "t", F.col("basis").alias("date_basis")), "sample_id")
     at, start, end = F.col("t"), F.col("effective_from"), F.col("effective_to")
     return joined.select(
         "sample_id", "rank_no", F.col("id").alias("chunk_id"), "logical_doc_id", "provision_id", "provision_path", "score", "date_basis", "issued_date", "effective_from", "effective_to",

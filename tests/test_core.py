@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from chronolake.functions import dates, quality, text
 from chronolake import config, session
 from chronolake.operators import asof, chunking, contracts, evaluation, lake, parsing, ranking, retrieval, structure
-from chronolake.plans import catalogue
+from chronolake.plans import catalogue, legal
 from chronolake.session import checkpoint_dir, cut
 from chronolake.sources import files, hooks, tables
 
@@ -487,6 +487,14 @@ def test_phrases_rank_without_pairs_of_questions_and_texts(spark, folder):
     assert "Join" not in plan
 
 
+def test_temporal_makes_its_chunks_twice_at_most(spark, folder):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # once to find the ends and once to get them; the rules read two tables
+    assert plan(legal.chunk_ends(spark, folder)).count("Relation [") <= 4
+    # and not again beside the scores: texts come from the checkpoint
+    assert "content#" not in plan(legal.temporal_topk(spark, folder))
+
+
 def test_a_rule_without_scope_is_refused(spark):
     told = spark.createDataFrame([("1/2020/QH14", None, None, "", D(2020, 3, 1))], "target_logical_doc_id string, target_chunk_id string, target_provision_id string, target_provision_path string, effective_to date")
     with pytest.raises(Exception, match="supersession rule"):
